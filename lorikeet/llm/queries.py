@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lorikeet.llm import exact_dedup, mixing
+from lorikeet.llm import exact_dedup, imatch, mixing, simhash
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_imatch": imatch.op6_imatch,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_simhash": simhash.op8_simhash,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
