@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lorikeet.llm import exact_dedup, imatch, mixing, simhash
+from lorikeet.llm import exact_dedup, imatch, langid, mixing, packing, simhash
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_imatch": imatch.op6_imatch,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_simhash": simhash.op8_simhash,
+    "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
