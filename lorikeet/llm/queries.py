@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorikeet.llm import exact_dedup, imatch, langid, mixing, packing, simhash
+from lorikeet.llm import exact_dedup, imatch, langid, mixing, packing, simhash, toxicity
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
