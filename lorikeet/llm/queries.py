@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorikeet.llm import exact_dedup, imatch, langid, mixing, packing, simhash, toxicity
+from lorikeet.llm import exact_dedup, imatch, langid, linededup, mixing, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op2_language_id": langid.op2_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_imatch": imatch.op6_imatch,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": linededup.OP1_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
 }
