@@ -1,8 +1,72 @@
-"""The corpus pipeline; stages are added as their operators are."""
+"""The corpus pipeline: language identification, line dedup, near-dedup, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. ``run`` writes each stage's result as Parquet to the shared folder and reads it again, so
+a lost executor costs at most one stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorikeet.llm import langid, linededup, mixing, packing, simhash
+from lorikeet.llm.common import Scratch, table
+
+#: A document stays if this share of its letters is in one language.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters (``und``) or without a language of most of their letters; fills null lang.
+
+    Rows that repeat an id are judged by the best of their texts.
+    """
+    found = langid.detect(docs, langid.fit_for_documents(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    best = found.groupBy("doc_id").agg(F.max_by("lang_pred", "score").alias("__pred")).withColumnRenamed("doc_id", "__id")
+    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["__id"]))
+    return kept.withColumn("lang", F.coalesce("lang", "__pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes later copies of line runs out of the texts; a document with nothing left goes."""
+    done = linededup.dedup_lines(docs)
+    gone = F.size("removed") > 0
+    return done.where(~(gone & (F.btrim(F.coalesce("text", F.lit(""))) == ""))).withColumn("n_chars", F.when(gone, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies."""
+    return simhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and cuts documents so that each source has its target's words."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the documents into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("packing", pack),
+]
+
+#: Language identification, SimHash components and tokens can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        last = i == len(STAGES) - 1
+        after = stage(spark, docs, sf_dir) if last else scratch.keep(stage(spark, docs, sf_dir))
+        docs = after
+    return docs
