@@ -64,7 +64,7 @@ def item_label(index: Column, label: Column | None = None) -> Column:
     return F.concat(F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text), F.lit("_"), slug)
 
 
-FORMATS: dict[str, Callable[[Column], Column]] = {"safe": safe, "num": num, "date": fmt_date, "time": fmt_time, "list": join_list, "term": term_code, "raw": lambda x: F.coalesce(x.cast("string"), F.lit(""))}
+FORMATS: dict[str, Callable[[Column], Column]] = {"safe": safe, "num": num, "date": fmt_date, "time": fmt_time, "list": join_list, "term": lambda x: safe(term_code(x)), "raw": lambda x: F.coalesce(x.cast("string"), F.lit(""))}
 
 
 def template(text: str) -> Column:

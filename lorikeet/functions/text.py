@@ -17,6 +17,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+def number_text(x: Column, pattern: str) -> Column:
+    """Rounded half-even, as format_number() with a pattern does."""
+    return F.call_function("format_number", x, F.lit(pattern))
+
+
 # ---------------------------------------------------------------- P1-P3, P5-P6: keywords
 
 #: Look-alike letters, invisible characters, digits and marks that stand for letters.
@@ -222,7 +227,7 @@ def mode_label(mode: Column) -> Column:
 
 def debug_bar(mode: Column, seconds: Column, top_score: Column, model: Column) -> Column:
     """What is known, joined by dots."""
-    return F.concat_ws(" · ", mode_label(mode), F.concat(F.format_number(seconds, "0.0"), F.lit("s")), F.concat(F.lit("score "), F.format_number(top_score, "0.000")), model)
+    return F.concat_ws(" · ", mode_label(mode), F.concat(number_text(seconds, "0.0"), F.lit("s")), F.concat(F.lit("score "), number_text(top_score, "0.000")), model)
 
 
 def local_timestamp(ts: Column, offset: str = "+08:00", pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
@@ -260,7 +265,7 @@ def numbered_lines(values: Column) -> Column:
 
 def intent_text(intent: Column, confidence: Column) -> Column:
     """``intent (0.76)``, rounded half-even."""
-    number = F.format_number(confidence.cast("double"), "0.00")
+    number = number_text(confidence.cast("double"), "0.00")
     return F.when(F.coalesce(intent, F.lit("")) == "", F.lit("")).otherwise(F.concat(intent, F.coalesce(F.concat(F.lit(" ("), number, F.lit(")")), F.lit(""))))
 
 
