@@ -295,7 +295,7 @@ def fold_value(e):
             rest = []
             for a in args:
                 if isinstance(a, Literal) and bool(a.value) == stop:
-                    return Literal(stop) if not rest else Operation(e.op, [*rest, a])
+                    return Literal(stop)  # operands have no side effects
                 if not isinstance(a, Literal):
                     rest.append(a)
             return Literal(not stop) if not rest else rest[0] if len(rest) == 1 else Operation(e.op, rest)
