@@ -214,7 +214,7 @@ def escape_html(x: Column) -> Column:
 
 def guard_years(x: Column) -> Column:
     """A paragraph that starts with a year and a point is no list item."""
-    return F.regexp_replace(x, r"(^|\n\n)(\d{4})\. ", "$1$2\\\\\\\\. ")
+    return F.regexp_replace(x, r"(^|\n\n)(\d{4})\. ", "$1$2\\\\. ")
 
 
 #: Labels of answer modes.

@@ -135,7 +135,8 @@ def answer_questions(requests: DataFrame, lists: dict[str, list[str]], moderate:
     The stages are split so that a filter stands before each model: a model inside a CASE would run on
     every row.
     """
-    rows = requests.withColumn("keyword", keyword_verdict(tx.normalise(F.col("question")), lists)).withColumn("is_identity", is_identity_question(F.col("question"), identity))
+    # normalised text is a column of its own: a lambda can't hold the Python function in it
+    rows = requests.withColumn("normal", tx.normalise(F.col("question"))).withColumn("keyword", keyword_verdict(F.col("normal"), lists)).withColumn("is_identity", is_identity_question(F.col("question"), identity))
     blocked = rows.where(F.col("keyword.mode") == "block").withColumn("moderation", moderation_verdict(F.lit(None).cast("string"))).withColumn("intent", intent_verdict(F.lit(None).cast("map<string,double>")))
     open_ = rows.where(F.col("keyword.mode") != "block").withColumn("moderation", moderation_verdict(moderate(F.left("question", F.lit(DEFAULTS.moderation_chars))))).withColumn("intent", intent_verdict(classify(F.col("question"))))
     return open_.unionByName(blocked)
