@@ -192,6 +192,22 @@ def test_backoff_by_hand(spark):
     assert (got[3].n_words, got[3].mean_log10) == (0, None)
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, unique=True))
+def test_packed_keys_come_back(values):
+    keys, counts = np.sort(np.array(values, np.uint64)), np.arange(len(values)) + 1
+    got = lmscore.unpack(lmscore.pack(keys, counts))
+    assert (got[0] == keys).all() and (got[1] == counts).all()
+
+
+def test_blocks_do_not_change_scores(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(x)}" for x in rng.exponential(5, rng.integers(0, 30)))) for i in range(60)], "doc_id long, text string").repartition(3)
+    want = sorted(lmscore.stupid_backoff(docs).collect())
+    monkeypatch.setattr(lmscore, "BLOCK", 40)
+    assert sorted(lmscore.stupid_backoff(docs).collect()) == want
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
