@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from lorikeet.llm.common import shuffle_partitions, table
 
 
+#: Characters of a text that a splitter holds.
+HEAD = 32
+
+
 def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -38,11 +42,14 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.withColumn("__h", F.xxhash64("__t")).join(F.broadcast(hot), "__h", "left")
 
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("__id", F.lit("salt")), F.lit(4 * n))).otherwise(F.lit(0))
-    same = W.partitionBy("__t", "__salt")
+    same = W.partitionBy("__head", "__h", "__salt", "__t")
     order = same.orderBy(F.col("__id").asc_nulls_last() if keep == "smallest" else F.col("__id").desc_nulls_last())
     sorted_rows = (
+        # Splitters are sampled from the first characters and a digest, not from whole texts, which the
+        # driver would have to hold; equal texts still share a range, and are compared in full there.
         rows.withColumn("__salt", salt)
-        .repartitionByRange("__t", "__salt")
+        .withColumn("__head", F.substring("__t", 1, HEAD))
+        .repartitionByRange("__head", "__h", "__salt")
         .select(
             "__id",
             "__hot",
