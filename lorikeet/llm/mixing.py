@@ -69,7 +69,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
             key.alias("__key"),
         )
     )
-    digits = max(1, math.ceil(math.log(max(1, rows.count()) / ROWS_A_RANGE, 16)))
+    # at least 256 ranges a source, so that small inputs with one large source are spread as well
+    digits = max(2, math.ceil(math.log(max(1, rows.count()) / ROWS_A_RANGE, 16)))
     rows = rows.withColumn("__range", F.substring("__key", 1, digits))
     ranges = rows.groupBy("__null", "__src", "__range").agg(F.sum("size").alias("__sum"))
     targets = source_targets(ranges.groupBy("__null", "__src").agg(F.sum("__sum").alias("source_size")), weights, max_epochs)
