@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorikeet.llm import langid, linededup, mixing, packing, simhash
+from lorikeet.llm import langid, linededup, mixing, neardup, packing
 from lorikeet.llm.common import Scratch, table
 
 #: A document stays if this share of its letters is in one language.
@@ -37,8 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    """Keeps the document with the least id of each group whose five-word shingles are 0.8 alike or more."""
+    return neardup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Language identification, SimHash components and tokens can't be written in SQL.
+#: Language identification, near-copy components and tokens can't be written in SQL.
 ORACLE_SQL = None
 
 
