@@ -147,6 +147,29 @@ def neighbour_expand(spark, sf_dir):
     return out.select("query_id", F.col("file_name").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("kind").cast("long").alias("kind"), F.col("place").cast("long").alias("place"))
 
 
+@query(
+    _CHUNKS
+    + """, q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM benchmark WHERE item_id % 50 = 0),
+d AS (SELECT doc_id, chunk_index, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM c WHERE text <> ''),
+s AS (SELECT item_id, doc_id, chunk_index, len(list_intersect(q.ts, d.ts)) AS shared, len(q.ts) + len(d.ts) - len(list_intersect(q.ts, d.ts)) AS u FROM q, d),
+k AS (SELECT * FROM (SELECT item_id AS query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN u > 0 THEN shared / u ELSE 0 END DESC, doc_id, chunk_index) AS rank FROM s) WHERE rank <= 12),
+n AS (SELECT k.query_id, c.doc_id, c.chunk_index, min(k.rank) AS rank FROM k JOIN c ON c.doc_id = k.doc_id AND c.chunk_index BETWEEN k.chunk_index - 2 AND k.chunk_index + 2 AND c.text <> '' GROUP BY ALL),
+u AS (SELECT query_id, doc_id, chunk_index, rank, 0 AS kind FROM k UNION ALL
+      SELECT query_id, doc_id, chunk_index, rank, 1 FROM n ANTI JOIN k USING (query_id, doc_id, chunk_index)),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, rank, doc_id::VARCHAR, chunk_index) AS place FROM u)
+SELECT query_id, doc_id, chunk_index::BIGINT AS chunk_index, kind::BIGINT AS kind, place::BIGINT AS place FROM p WHERE place <= 30 OR kind = 0"""
+)
+def neighbour_expand_ranked(spark, sf_dir):
+    """The hits are each question's best chunks of all documents, by the lexical score."""
+    chunks = _line_chunks(spark, sf_dir)
+    q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    pairs = chunks.join(F.broadcast(q))  # a stated set of questions, against all chunks
+    scored = pairs.withColumn("score", retrieval.lexical_score(F.col("question"), F.col("text"))).withColumn("tie", F.struct(F.col("file_name").cast("long"), "chunk_index"))
+    best = retrieval.rerank(scored, F.col("score"), n=12, tie="tie").withColumnRenamed("final_rank", "rank")
+    out = retrieval.expand_neighbours(best, chunks)
+    return out.select("query_id", F.col("file_name").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("kind").cast("long").alias("kind"), F.col("place").cast("long").alias("place"))
+
+
 @query()
 def chunk_sections(spark, sf_dir):
     """Sections of web pages: titles open them."""
