@@ -321,10 +321,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rooted.join(least, "root").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The row with the least id of each component, with all columns; rows without id all stay."""
-    kept = simhash_components(docs, id_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(kept, docs[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col]))
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, with all columns: that of the least id, null ids last; ids may repeat."""
+    scratch = Scratch(docs.sparkSession, "near")
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    # one row per text, named by its hash: components are of texts, not of ids
+    texts = docs.groupBy(key.alias("__key")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("first"), F.any_value(text_col).alias("text"))
+    texts = scratch.keep(texts)
+    parts = simhash_components(texts, "__key", "text", **options).select("__key", "component_id")
+    order = F.struct("first.none", "first.id", "__key")
+    kept = texts.join(parts, "__key").groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.__key").alias("__kept"))
+    rows = docs.withColumn("__key", key)
+    return rows.join(kept, (rows["__key"] == kept["__kept"]) & rows[id_col].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

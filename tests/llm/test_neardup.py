@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lorikeet.llm import neardup
+from lorikeet.llm import neardup, simhash
 from tests.llm.test_llm import DOCS, ODD
 
 
@@ -83,3 +83,14 @@ def test_recall_of_the_bands_at_the_least_similarity():
         a.append(x[:180])
         b.append(x[20:])
     assert (neardup.band_keys(a) == neardup.band_keys(b)).any(axis=1).all()
+
+
+#: Two unrelated texts of one id, a copy of a lesser id's text under another text's id, and null ids.
+REPEATED = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon zeta"), (2, "one two three four five six"), (None, "alone as can be and no copy"), (None, "alone as can be and no copy")]
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_copies, neardup.drop_near_copies])
+def test_rows_not_ids_are_kept(spark, drop):
+    rows = spark.createDataFrame([*REPEATED, (2, "nothing like any of the others here")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in drop(rows).collect())
+    assert got == [(0, REPEATED[3][1]), (1, REPEATED[0][1]), (2, "nothing like any of the others here"), (2, REPEATED[2][1])]
