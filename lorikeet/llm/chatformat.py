@@ -427,6 +427,16 @@ def node_closure(node) -> Callable[[dict, Sink], None]:
     return loop
 
 
+def names_in(node: object) -> set[str]:
+    """First parts of the names that a node or block reads; a loop reads ``messages``."""
+    if isinstance(node, Name):
+        return {node.path[0]}
+    if isinstance(node, (list, tuple)):
+        return set().union(*map(names_in, node))
+    own = {"messages"} if isinstance(node, For) else set()
+    return own.union(*map(names_in, vars(node).values())) if hasattr(node, "__dataclass_fields__") else own
+
+
 class Template:
     """A compiled template. ``render`` makes a whole conversation; ``parts`` renders it message by message."""
 
@@ -436,8 +446,11 @@ class Template:
         loops = [i for i, n in enumerate(tree) if isinstance(n, For)]
         self.run = block_closure(tree)
         self.by_message = len(loops) == 1
+        #: What a message's own rendering can't supply.
+        self.missing: set[str] = set()
         if self.by_message:
             i = loops[0]
+            self.missing = (names_in(tree[i].block) - {tree[i].name}) & {"index", "messages"}
             self.name = tree[i].name
             self.before, self.body, self.after = block_closure(tree[:i]), block_closure(tree[i].block), block_closure(tree[i + 1 :])
 
@@ -450,6 +463,8 @@ class Template:
         return "".join(out.parts), out.spans
 
     def message(self, role: str | None, text: str | None) -> tuple[str, list[tuple[int, int]]]:
+        if self.missing:
+            raise TemplateError(f"a message alone has no {' and no '.join(sorted(self.missing))}")
         out = Sink()
         self.body({self.name: {"role": role or "", "text": text or ""}}, out)
         return "".join(out.parts), out.spans
@@ -485,6 +500,8 @@ def format_messages(rows: DataFrame, template: Template) -> DataFrame:
     """
     if not template.by_message:
         raise TemplateError("the template must have one loop over messages")
+    if template.missing:
+        raise TemplateError(f"a message alone has no {' and no '.join(sorted(template.missing))}")
     rows = rows.drop("formatted", "spans")
     names, n = rows.columns, len(rows.columns)
     role_at, text_at = names.index("role"), names.index("text")
