@@ -358,6 +358,16 @@ def condense_validate(spark, sf_dir):
     return c.select("conv_id", "turn", tx.validate_condensed(F.col("text"), condensed).alias("question"))
 
 
+@query("""
+WITH c AS (SELECT conv_id, turn, text AS original, CASE turn % 3 WHEN 0 THEN text || ' ' || turn WHEN 1 THEN repeat(text || ' ', 4) ELSE ' ok ' END AS condensed FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(trim(condensed)) < 5 OR length(condensed) > greatest(3 * length(original), 200) THEN original ELSE condensed END AS question FROM c""")
+def condense_validate_whole(spark, sf_dir):
+    """The stand-ins are made of whole texts: one that is taken, one that is too long, one that is too short."""
+    turn = F.col("turn") % 3
+    condensed = F.when(turn == 0, F.concat("text", F.lit(" "), F.col("turn").cast("string"))).when(turn == 1, F.repeat(F.concat("text", F.lit(" ")), F.lit(4))).otherwise(" ok ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.validate_condensed(F.col("text"), condensed).alias("question"))
+
+
 @query("""
 WITH v AS (SELECT conv_id, turn, length(text) AS n, role, conv_id % 7 AS a, conv_id % 11 AS b FROM conversations)
 SELECT conv_id, turn, CASE WHEN a = 0 THEN 'blocked' WHEN a = 1 THEN 'blocked_moderation' WHEN a = 2 THEN 'chitchat' WHEN b < 3 THEN 'clarification_needed'
