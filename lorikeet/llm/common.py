@@ -1,16 +1,20 @@
-"""Shared helpers of the training-data operators: inputs, scratch tables, ordered ranks."""
+"""Shared helpers of the training-data operators: inputs, scratch tables, column names, hot keys."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space that separates words: space and U+0009 to U+000D. Everything else belongs to a word.
 WORD_SPACE = "[\\x20\\x09-\\x0D]+"
 WORD_SPACE_CHARS = " \t\n\x0b\f\r"
+#: A group of at most this many rows is never hot.
+LEAST_HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,22 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only a local master, where all share one machine, may fall back to a temporary folder.
+    Where a session on one machine names none, a folder of the warehouse serves, which all share as well.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"{tempfile.gettempdir()}/checkpoints"
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """One folder per application, named by its id."""
+    return f"{shared_dir(spark)}/lorikeet-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application; to be called once results are written.
+
+    The frames that operators return read their scratch tables, so those stay until then.
+    """
+    _delete(spark, scratch_root(spark))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; each can be dropped once superseded."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/lorikeet-{label}-{uuid.uuid4().hex}"
+        self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -49,9 +67,7 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(self.spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,3 +78,55 @@ def word_count(text: Column) -> Column:
     """Number of words; null counts as 0. Stays inside generated code."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_SPACE_CHARS))
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, WORD_SPACE))).cast("long")
+
+
+# ---------------------------------------------------------------- names of columns
+
+
+def places(docs: DataFrame) -> list[str]:
+    """A name by place for each column: c0, c1 and so on."""
+    return [f"c{i}" for i in range(len(docs.columns))]
+
+
+def by_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named by place, so that no name of an operator's own can clash."""
+    return docs.toDF(*places(docs))
+
+
+def with_outputs(docs: DataFrame, text_col: str, names: list[str], kinds: str, run: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """``docs`` and columns computed from its texts, a batch at a time; input columns called ``names`` are replaced.
+
+    ``kinds``: their types, as a DDL string. ``run`` is called once per task and gives the function of batches.
+    """
+    docs = docs.drop(*names)
+    fields = StructType.fromDDL(kinds).fields
+    plain = by_place(docs).withColumn("t", F.col(f"c{docs.columns.index(text_col)}").cast("string"))
+    schema = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)), *fields])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = run()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *each(b.column(b.num_columns - 1))], names=schema.names)
+
+    return plain.mapInArrow(mapped, schema).toDF(*docs.columns, *names)
+
+
+# ---------------------------------------------------------------- hot keys
+
+
+def hot_limit(spark: SparkSession, total: int) -> int:
+    """Rows from which a group is hot; fewer than 4 groups per shuffle partition can be."""
+    return max(LEAST_HOT, total // (4 * shuffle_partitions(spark)))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, limit: int, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row for each of the keys and their number of rows, ``size``.
+
+    The rows of a group with over ``limit`` are dealt, by a hash of ``by``, to as many shares as it has
+    limits, and its one row is copied to each; so no task reads a group whole. ``size`` is dropped.
+    """
+    shares = F.ceil(F.col(size) / F.lit(float(limit))).cast("int")
+    hot = F.broadcast(groups.where(F.col(size) > limit).select(*keys, shares.alias("__shares")))  # fewer than all rows / limit
+    dealt = rows.join(hot, keys, "left").withColumn("__share", F.when(F.col("__shares").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.col("__shares")).cast("int"))).drop("__shares")
+    copies = groups.withColumn("__share", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > limit, shares - 1).otherwise(F.lit(0))))).drop(size)
+    return dealt.join(copies, [*keys, "__share"], how).drop("__share")

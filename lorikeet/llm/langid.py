@@ -5,7 +5,7 @@ the word itself give it a log-likelihood under each candidate; Viterbi decoding
 text, with a penalty for switching, labels its spans. A text's language is the one with most letters.
 
 The model is fitted on a bounded sample of labelled rows: at most SAMPLE_A_LANGUAGE documents per
-language, those with the least hashes of their ids. Its table has BUCKETS counts per language.
+language, those with the least hashes of id and text. Its table has BUCKETS counts per language.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import table
+from lorikeet.llm.common import table, with_outputs
 
 SAMPLE_A_LANGUAGE = 1500
 BUCKETS = 1 << 15
@@ -76,6 +76,11 @@ class Model:
         self.logs = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32)  # bucket, language
         self.uses = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=1, keepdims=True))
 
+    def knows(self, word: str) -> bool:
+        """If a learned language uses the word's script."""
+        script = script_of(word)
+        return script >= 0 and bool(self.uses[:, script].any())
+
     def scores(self, word: str) -> np.ndarray:
         script = script_of(word)
         if script < 0:
@@ -91,13 +96,14 @@ class Words(dict):
     def __init__(self, model: Model):
         self.model = model
         self.table = np.zeros((1024, len(model.langs)), np.float32)
-        self.letters = np.zeros(1024, np.int32)
+        self.letters, self.known = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
 
     def __missing__(self, word: str) -> int:
         n = len(self)
         if n == len(self.table):
-            self.table, self.letters = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.letters))
+            self.table, self.letters, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.letters, self.known))
         self.table[n], self.letters[n] = self.model.scores(word), sum(map(str.isalpha, word))
+        self.known[n] = self.letters[n] * self.model.knows(word)
         self[word] = n
         return n
 
@@ -121,10 +127,10 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return labels
 
 
-def label_batch(words: Words, texts: list[str | None], penalty: float) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """(language, score, spans of words) of each text."""
+def label_batch(words: Words, texts: list[str | None], penalty: float) -> list[tuple[str, float, float, list[tuple[int, int, str]]]]:
+    """(language, score, share of letters in scripts of learned languages, spans of words) of each text."""
     langs = words.model.langs
-    out: list = [("und", 0.0, [])] * len(texts)
+    out: list = [("und", 0.0, 0.0, [])] * len(texts)
     if not langs:
         return out
     ids = {i: np.array(list(map(words.__getitem__, found)), np.int64) for i, t in enumerate(texts) if t and (found := t.lower().split())}
@@ -147,18 +153,25 @@ def label_batch(words: Words, texts: list[str | None], penalty: float) -> list[t
             if mass.sum():
                 best = int(mass.argmax())
                 cuts = [0, *(np.flatnonzero(mine[1:] != mine[:-1]) + 1).tolist(), len(mine)]
-                out[i] = (langs[best], float(mass[best] / mass.sum()), [(a, b, langs[mine[a]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                out[i] = (langs[best], float(mass[best] / mass.sum()), float(words.known[ids[i]].sum() / mass.sum()), [(a, b, langs[mine[a]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         at = end
     return out
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> Model:
-    """From rows doc_id, text, lang; rows with null text or lang teach nothing."""
-    rows = labelled.where("lang is not null and text is not null")
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample).select("doc_id", "lang")
-    # at most ``sample`` ids per language
-    chosen = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    """From rows doc_id, text, lang; rows with null text or lang teach nothing, equal rows teach once.
+
+    Hashes are cut at twice the sample's expected share before the exact cut at its last member, so what
+    meets in a task is some samples' worth of hashes, however many rows a language has.
+    """
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"))
+    most = float((1 << 63) - 1)
+    # a row per language, as the model has
+    rough = rows.groupBy("lang").count().select("lang", (F.least(F.lit(1.0), (2 * sample + 100) / F.col("count")) * most).alias("cut"))
+    near = rows.join(F.broadcast(rough), "lang").where(F.col("h") <= F.col("cut")).select("lang", "h").distinct()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    last = near.select("lang", "h", place.alias("rn")).where(F.col("rn") <= sample).groupBy("lang").agg(F.max("h").alias("last"))
+    chosen = rows.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, list[int], int]] = {}
@@ -187,29 +200,42 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> Model:
     return Model(langs, counts[:, :BUCKETS], counts[:, BUCKETS:])
 
 
-def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH) -> DataFrame:
-    """``id_col, lang_pred, score, spans`` for every row; whole texts are read.
+OUTPUTS = {"lang_pred": "string", "score": "double", "recognised": "double", "spans": "array<struct<first_word:int,end_word:int,lang:string>>"}
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH, prefix: str = "") -> DataFrame:
+    """All columns of ``docs`` and ``lang_pred, score, recognised, spans`` for every row; whole texts are read.
 
-    Null texts and texts without letters are ``und`` with score 0 and no spans; so is every text if the
-    model has learned no language. Score: the share of letters in spans of the predicted language. Ties
-    go to the first language by name. Other columns are ignored.
+    Null texts and texts without letters are ``und`` with scores 0 and no spans; so is every text if the
+    model has learned no language. ``score``: the share of letters in spans of the predicted language.
+    ``recognised``: the share of letters in words of a script that a learned language uses. Ties go to the
+    first language by name. Input columns of these names, with ``prefix``, are replaced; repeated rows are
+    judged each for itself; empty input gives no rows.
     """
-    rows = docs.select(id_col, F.col(text_col).cast("string"))
-    spans = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
+    kinds = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run():
         words = Words(model)
-        for b in batches:
+
+        def each(texts: pa.Array) -> list[pa.Array]:
+            nonlocal words
             if len(words) >= CACHE:
                 words = Words(model)
-            found = label_batch(words, b.column(1).to_pylist(), penalty)
-            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([[{"first_word": a, "end_word": e, "lang": x} for a, e, x in f[2]] for f in found], spans)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[id_col, "lang_pred", "score", "spans"])
+            found = label_batch(words, texts.to_pylist(), penalty)
+            spans = [[{"first_word": a, "end_word": e, "lang": x} for a, e, x in f[3]] for f in found]
+            return [pa.array([f[0] for f in found], pa.string()), *(pa.array([f[i] for f in found], pa.float64()) for i in (1, 2)), pa.array(spans, kinds)]
+
+        return each
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>")
+    return with_outputs(docs, text_col, [prefix + c for c in OUTPUTS], ", ".join(f"{c} {t}" for c, t in OUTPUTS.items()), run)
+
+
+def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH) -> DataFrame:
+    """``with_language`` of the ids: ``id_col, lang_pred, score, recognised, spans`` for every row."""
+    return with_language(docs.select(id_col, text_col), model, text_col, penalty).drop(text_col)
 
 
-def remainder(modulus: int):
+def remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from lorikeet.llm.common import Scratch, table
+from lorikeet.llm.common import Scratch, by_place, hot_limit, join_groups, table
 
 MIN_WORDS = 50
 NO_ID = (1 << 63) - 1
@@ -42,10 +43,10 @@ def line_windows(words: np.ndarray, least: int) -> np.ndarray:
     return np.unique(np.concatenate([on, back]), axis=0)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(plain: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds DOC: the id (null last) and a hash that tells rows with equal ids apart by their texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__h", F.xxhash64(text, F.col(id_col).isNull()))
+    return plain.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__h", F.xxhash64(text, F.col(id_col).isNull()))
 
 
 def lines_and_windows(docs: DataFrame, text_col: str, least: int) -> DataFrame:
@@ -75,10 +76,12 @@ def group_ranks(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame
     """``__id, __h, line, rank`` of rows whose keys are not alone: rank is the number of rows in groups before theirs."""
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").repartitionByRange(*keys)
     counted = scratch.keep(counted.withColumn("pid", F.spark_partition_id()))
-    before = counted.groupBy("pid").agg(F.sum("n").alias("s")).select("pid", (F.sum("s").over(W.orderBy("pid")) - F.col("s")).alias("before"))
+    sums = counted.groupBy("pid").agg(F.sum("n").alias("s"))
+    before = sums.select("pid", (F.sum("s").over(W.orderBy("pid")) - F.col("s")).alias("before"))
     ranks = counted.join(F.broadcast(before), "pid")  # a row per partition
-    ranks = ranks.select(*keys, (F.col("before") + F.sum("n").over(W.partitionBy("pid").orderBy(*keys)) - F.col("n")).alias("new"))
-    out = scratch.keep(rows.join(ranks, keys).select(*DOC, "line", F.col("new").alias("rank")))
+    ranks = ranks.select(*keys, "n", (F.col("before") + F.sum("n").over(W.partitionBy("pid").orderBy(*keys)) - F.col("n")).alias("new"))
+    limit = hot_limit(rows.sparkSession, sums.agg(F.sum("s")).first()[0] or 0)
+    out = scratch.keep(join_groups(rows, ranks, keys, "n", limit, [*DOC, "line"]).select(*DOC, "line", F.col("new").alias("rank")))
     scratch.drop(counted)
     return out
 
@@ -95,10 +98,13 @@ def later_copies(docs: DataFrame, text_col: str, least: int, scratch: Scratch) -
     while k <= widest:
         here = windows.where((F.col("w") >= k) & (F.col("w") < 2 * k))
         named = here.join(level.withColumnRenamed("rank", "r1"), [*DOC, "line"]).withColumn("second", F.col("line") + F.col("w") - k)
-        named = named.join(level.select(*DOC, F.col("line").alias("second"), F.col("rank").alias("r2")), [*DOC, "second"])
+        named = scratch.keep(named.join(level.select(*DOC, F.col("line").alias("second"), F.col("rank").alias("r2")), [*DOC, "second"]))
         place = F.struct(*DOC, "line")
-        first = named.groupBy("r1", "r2", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found.append(scratch.keep(named.join(first, ["r1", "r2", "w"]).where(place > F.col("first")).select(*DOC, "line", "w")))
+        first = scratch.keep(named.groupBy("r1", "r2", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        limit = hot_limit(docs.sparkSession, first.agg(F.sum("n")).first()[0] or 0)
+        found.append(scratch.keep(join_groups(named, first, ["r1", "r2", "w"], "n", limit, [*DOC, "line"]).where(place > F.col("first")).select(*DOC, "line", "w")))
+        scratch.drop(named)
+        scratch.drop(first)
         if 2 * k <= widest:
             pairs = level.withColumnRenamed("rank", "r1").join(level.select(*DOC, (F.col("line") - k).alias("line"), F.col("rank").alias("r2")), [*DOC, "line"])
             after = group_ranks(pairs, ["r1", "r2"], scratch)
@@ -118,14 +124,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (at least 1), in one line or several; the first copy by id, then by line, stays whole. Lines are
     equal if their bytes are. Null text stays null and has one empty line. Rows that repeat id and text
     are one document; of rows that repeat an id with other texts the order is by hash. Rows with null id
-    come last. A text whose lines all go becomes empty. Empty input gives no rows.
+    come last; ids are whole numbers. A text whose lines all go becomes empty. Empty input gives no rows.
+    Other columns may have any names; input columns called n_lines or removed are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "removed")
-    own = keyed(docs, id_col, text_col)
-    spans = later_copies(own, text_col, max(1, min_words), scratch).groupBy(*DOC).agg(F.collect_list(F.struct("line", "w")).alias("__spans"))
-    joined = own.join(spans, DOC, "left").select(*docs.columns, "__spans")
     at, last = docs.columns.index(text_col), len(docs.columns)
+    plain = by_place(docs)
+    own = keyed(plain, f"c{docs.columns.index(id_col)}", f"c{at}")
+    spans = later_copies(own, f"c{at}", max(1, min_words), scratch).groupBy(*DOC).agg(F.collect_list(F.struct("line", "w")).alias("__spans"))
+    joined = own.join(spans, DOC, "left").select(*plain.columns, "__spans")
     removed = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +154,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(gone, removed)], names=[*(f"c{i}" for i in range(last)), "n_lines", "removed"])
 
-    kinds = ", ".join(f"c{i} {'string' if i == at else f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    done = joined.mapInArrow(run, f"{kinds}, n_lines long, removed array<struct<first:long,end:long>>")
+    fields = [StructField(f"c{i}", StringType() if i == at else f.dataType) for i, f in enumerate(docs.schema)]
+    done = joined.mapInArrow(run, StructType([*fields, *StructType.fromDDL("n_lines long, removed array<struct<first:long,end:long>>").fields]))
     return done.toDF(*docs.columns, "n_lines", "removed")
 
 

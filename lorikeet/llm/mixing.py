@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import WORD_SPACE, WORD_SPACE_CHARS, Scratch, table, word_count
+from lorikeet.llm.common import WORD_SPACE, WORD_SPACE_CHARS, Scratch, by_place, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -49,6 +49,32 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     return ranked.select("__null", "__src", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def sized_rows(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+    """What the mix needs of each row: ``doc_id``, the source, the size and the hash-random key."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    source = [F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__src")]
+    return docs.select("doc_id", *source, word_count(F.col("text")).alias("size"), key.alias("__key"), *more)
+
+
+def place_rows(rows: DataFrame, ranges: DataFrame, targets: DataFrame, tie: list[str]) -> DataFrame:
+    """``rows`` (with ``__range``) and ``source_size, target, taken``; ``ranges`` has the sum of sizes of each."""
+    before = W.partitionBy("__null", "__src").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("__null", "__src", "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    ranges = ranges.join(targets, ["__null", "__src"])
+    inside = W.partitionBy("__null", "__src", "__range").orderBy("__key", F.col("doc_id").asc_nulls_first(), "size", *tie).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["__null", "__src", "__range"])
+    budget = F.floor(F.col("target") + 0.5)
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
+    rest = budget - epochs * F.col("source_size")
+    last = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("__offset") - F.col("__before")))
+    return placed.withColumn("taken", (epochs * F.col("size") + last).cast("long"))
+
+
+def range_digits(n: int) -> int:
+    """Hex digits of the key that name a range: at least 256 ranges a source, so that small inputs with one large source are spread as well."""
+    return max(2, math.ceil(math.log(max(1, n) / ROWS_A_RANGE, 16)))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row.
 
@@ -57,55 +83,41 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     size 0; a null source is a source of its own; rows with equal ids and sizes are interchangeable.
     Empty input gives no rows. Columns besides doc_id, text and source are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = scratch.keep(
-        docs.select(
-            "doc_id",
-            F.col("source").isNull().alias("__null"),
-            F.coalesce("source", F.lit("")).alias("__src"),
-            word_count(F.col("text")).alias("size"),
-            key.alias("__key"),
-        )
-    )
-    # at least 256 ranges a source, so that small inputs with one large source are spread as well
-    digits = max(2, math.ceil(math.log(max(1, rows.count()) / ROWS_A_RANGE, 16)))
-    rows = rows.withColumn("__range", F.substring("__key", 1, digits))
+    rows = Scratch(docs.sparkSession, "mix").keep(sized_rows(docs, seed))
+    rows = rows.withColumn("__range", F.substring("__key", 1, range_digits(rows.count())))
     ranges = rows.groupBy("__null", "__src", "__range").agg(F.sum("size").alias("__sum"))
     targets = source_targets(ranges.groupBy("__null", "__src").agg(F.sum("__sum").alias("source_size")), weights, max_epochs)
-    before = W.partitionBy("__null", "__src").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.select("__null", "__src", "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    ranges = ranges.join(targets, ["__null", "__src"])
-    inside = W.partitionBy("__null", "__src", "__range").orderBy("__key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["__null", "__src", "__range"])
-    budget = F.floor(F.col("target") + 0.5)
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    last = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("__offset") - F.col("__before")))
-    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    return place_rows(rows, ranges, targets, []).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per epoch of a document, cut to its first words where the budget ends.
 
-    Rows of one doc_id are told apart by their text's word count only, so ids should be unique; of
-    repeated ids every row gets the words that its own size allows.
+    Whole rows are carried to their ranges, so each of several rows with one doc_id, or equal in all
+    columns, has words of its own and the budget is met exactly. Null texts and texts without words are
+    never taken. ``n_chars``, where there is one, is that of the text. Empty input gives no rows.
     """
-    taken = mix_sources(docs, **options).groupBy("doc_id", "size").agg(F.max("taken").alias("__taken")).withColumnRenamed("doc_id", "__id").withColumnRenamed("size", "__n")
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    joined = sized.join(taken, sized["doc_id"].eqNullSafe(taken["__id"]) & (F.col("__size") == F.col("__n")))
-    copies = F.when(F.col("__size") > 0, F.ceil(F.col("__taken") / F.col("__size"))).otherwise(F.lit(0)).cast("int")
-    out = joined.where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    words = F.when(F.col("__copy") == copies, F.col("__taken") - (copies - 1) * F.col("__size")).otherwise(F.col("__size"))
-    out = out.withColumn("__words", words)
+    scratch, names = Scratch(docs.sparkSession, "mixed"), docs.columns
+    # columns go by place inside a struct, so names that the mix uses itself may stand in ``docs``
+    plain = by_place(docs)
+    at = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "text", "source")}
+    plain = plain.select(*(c.alias(k) for k, c in at.items()), F.struct(*plain.columns).alias("__row"))
+    digits = range_digits(docs.count())
+    light = sized_rows(plain, seed).withColumn("__range", F.substring("__key", 1, digits))
+    ranges = scratch.keep(light.groupBy("__null", "__src", "__range").agg(F.sum("size").alias("__sum")))
+    targets = source_targets(ranges.groupBy("__null", "__src").agg(F.sum("__sum").alias("source_size")), weights, max_epochs)
+    hashed = [f"c{i}" for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+    rows = sized_rows(plain, seed, F.col("__row"), F.xxhash64(*(F.col("__row")[c] for c in hashed)).alias("__tie")).withColumn("__range", F.substring("__key", 1, digits))
+    rows = place_rows(rows, ranges, targets, ["__tie"]).where("taken > 0")
+    size, taken, text = F.col("size"), F.col("taken"), F.col("__row")[f"c{names.index('text')}"]
+    copies = F.ceil(taken / size).cast("int")
+    out = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.when(F.col("__copy") == copies, taken - (copies - 1) * size).otherwise(size)
     # Split keeps the words; joined again by spaces, only in the one row of a source where the budget ends.
-    cut = F.array_join(F.slice(F.split(F.btrim("text", F.lit(WORD_SPACE_CHARS)), WORD_SPACE), 1, F.col("__words").cast("int")), " ")
-    text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cut = F.array_join(F.slice(F.split(F.btrim(text, F.lit(WORD_SPACE_CHARS)), WORD_SPACE), 1, words.cast("int")), " ")
+    final = F.when(words < size, cut).otherwise(text)
+    made = {"text": final, "n_chars": F.length(final).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    return out.select(*((made[c] if c in made else F.col("__row")[f"c{i}"]).alias(f"c{i}") for i, c in enumerate(names))).toDF(*names)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

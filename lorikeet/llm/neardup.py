@@ -1,9 +1,11 @@
-"""Near-dedup by the Jaccard similarity of sets of five-word shingles, 0.8 or more.
+"""Near copies: SimHash first, then what it can't reach, all confirmed by exact Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands: a text's set has BANDS keys of ROWS minima each, and two sets of
-similarity s share one with probability 1 - (1 - s^ROWS)^BANDS: all but 5 in a million at 0.8, more above. A Gray
-index would have to reach 16 of 64 bits for that, which is to look at every pair. Each candidate is
-confirmed by its exact similarity, so a link is never wrong.
+A document's features are its distinct five-word shingles. Their SimHash fingerprints go through the
+Gray-order index, and a text is compared with the first of its component. But at a similarity of 0.8 two
+fingerprints differ in 9.7 of 64 bits on average (the angle is acos(8/9)), up to 16 in most cases; a Gray
+index would have to look at every pair for that. So MinHash bands find the rest: a set has BANDS keys of
+ROWS minima each, and two sets of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS: all but
+5 in a million at 0.8, more above. Candidates are confirmed by their exact similarity, so no link is wrong.
 
 The texts of a band key are compared with the least of them first. Where that leaves more than one group,
 every text outside the key's largest group is compared with all of other groups; so each pair of a key is
@@ -17,9 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import Scratch
+from lorikeet.llm import simhash
+from lorikeet.llm.common import Scratch, by_place, hot_limit, join_groups
 from lorikeet.llm.simhash import shingle_hashes, star_components
 
 SHINGLE = 5
@@ -66,8 +70,8 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def text_key(text_col: str) -> Column:
-    """Texts are told apart by this hash."""
-    return F.xxhash64(F.col(text_col).cast("string"))
+    """Texts are told apart by this hash; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _mapped(docs: DataFrame, text_col: str, fields: str, row) -> DataFrame:
@@ -98,51 +102,82 @@ def _alike_sizes(a: Column, b: Column) -> Column:
     return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
 
 
+def _prints(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(simhash.majority(len(sets), enumerate(sets)).view(np.int64))
+
+
 def near_links(keyed: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     """``u, v`` that join just the texts of ``keyed`` (key, text) whose similarity is LEAST or more.
 
     Not each pair is listed: texts that a link joins already aren't compared again.
     """
-    bands = scratch.keep(_mapped(keyed, text_col, "n long, bands array<long>", lambda s: {"n": _sizes(s), "bands": _lists(list(np.ascontiguousarray(band_keys(s))))}))
+    columns = lambda s: {"n": _sizes(s), "fp": _prints(s), "bands": _lists(list(np.ascontiguousarray(band_keys(s))))}
+    bands = scratch.keep(_mapped(keyed, text_col, "n long, fp long, bands array<long>", columns))
+    limit = hot_limit(keyed.sparkSession, bands.count())
+
+    # the Gray-order index: texts against the first of their component of fingerprints
+    texts = bands.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"))
+    each = scratch.keep(texts.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("size")))
+    near = star_components(simhash.near_links(each.select("fp"), scratch), scratch)
+    each = each.join(near, each["fp"] == near["u"], "left").select("fp", "first", "size", F.coalesce("root", "fp").alias("root"))
+    heads = each.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("prints"), F.sum("size").alias("texts")).where("texts > 1")
+    heads = scratch.keep(join_groups(each, heads.drop("texts"), ["root"], "prints", limit, ["fp"]).select("fp", "head", "size"))
+    close = join_groups(texts, heads, ["fp"], "size", limit, ["key"]).where("key <> head.key").select(F.col("head.key").alias("u"), F.col("key").alias("v"), F.col("head.n").alias("un"), F.col("n").alias("vn"))
+    close = close.where(_alike_sizes(F.col("un"), F.col("vn"))).select("u", "v")
+
+    # the bands: texts that share a key against the first of them
     spread = bands.select("key", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("last")).where("first.key <> last").select("band", "first")
-    members = scratch.keep(spread.join(shared, "band").select("band", "first", "key", "n").distinct())
-    sought = members.select("key").distinct()
-    texts = keyed.join(sought, "key", "left_semi").dropDuplicates(["key"])
-    sets = scratch.keep(_mapped(texts, text_col, "shingles array<long>", lambda s: {"shingles": _lists(s)}))
+    shared = spread.groupBy("band").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("size")).where("first.key <> last")
+    shared = scratch.keep(shared.select("band", "first", "size"))
+    members = scratch.keep(join_groups(spread, shared, ["band"], "size", limit, ["key"]).select("band", "first", "key", "n").distinct())
+    with_first = members.where((F.col("key") != F.col("first.key")) & _alike_sizes(F.col("n"), F.col("first.n"))).select(F.col("first.key").alias("u"), F.col("key").alias("v"))
+    pairs = scratch.keep(close.union(with_first).distinct())
+
+    sought = members.select("key").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    chosen = keyed.join(sought, "key", "left_semi").dropDuplicates(["key"])
+    sets = scratch.keep(_mapped(chosen, text_col, "shingles array<long>", lambda s: {"shingles": _lists(s)}))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("key").alias("v"), F.col("shingles").alias("b"))
+        """Of the pairs those that are alike. A set that many pairs have is dealt to several tasks."""
+        for own, other, name in (("u", "v", "a"), ("v", "u", "b")):
+            uses = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("uses"))
+            groups = uses.join(sets, uses[own] == sets["key"]).select(own, "uses", F.col("shingles").alias(name))
+            pairs = join_groups(pairs, scratch.keep(groups), [own], "uses", limit, [other])
         both = F.size(F.array_intersect("a", "b"))
-        rows = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+        rows = pairs.select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
         return scratch.keep(rows.where(F.col("both") * LEAST[1] >= (F.col("sum") - F.col("both")) * LEAST[0]).select("u", "v"))
 
-    with_first = members.where((F.col("key") != F.col("first.key")) & _alike_sizes(F.col("n"), F.col("first.n")))
-    links = confirmed(with_first.select(F.col("first.key").alias("u"), F.col("key").alias("v")).distinct())
-
+    links = confirmed(pairs)
     roots = star_components(links, scratch)
     grouped = scratch.keep(members.join(roots, members["key"] == roots["u"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
     counts = grouped.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
-    open_ = counts.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("band", "main")
-    there = grouped.join(open_, "band")
+    open_ = counts.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("size").alias("size")).where("groups > 1").select("band", "main", "size")
+    there = join_groups(grouped, scratch.keep(open_), ["band"], "size", limit, ["key"])
     a = there.where("root <> main").select("band", F.col("key").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"))
     b = there.select("band", F.col("key").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), "main")
     rest = a.join(b, "band").where((F.col("ur") != F.col("vr")) & ((F.col("vr") == F.col("main")) | (F.col("u") < F.col("v"))) & _alike_sizes(F.col("un"), F.col("vn")))
-    return links.unionByName(confirmed(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
+    rest = scratch.keep(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    return links.unionByName(confirmed(rest))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, with all columns: that of the least id, null ids last.
 
-    Rows are told apart by id and text, so ids may repeat. Texts without words are copies of each other.
+    Rows are told apart by id and text, so ids may repeat; of rows equal in both one stays, by a hash of
+    the others' columns. Texts without words are copies of each other. Empty input gives no rows; columns
+    may have any names.
     """
-    scratch = Scratch(docs.sparkSession, "neardup")
-    keyed = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    scratch, names = Scratch(docs.sparkSession, "neardup"), docs.columns
+    plain = by_place(docs)
+    ident, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    tag = F.xxhash64(ident, F.col(ident).isNull(), F.col(text).cast("string"))
+    rows = plain.withColumn("key", text_key(text)).withColumn("tag", tag)
+    keyed = rows.select(F.col(ident).alias("id"), "key", "tag", F.col(text).alias("text"))
     roots = star_components(near_links(keyed.select("key", "text"), "text", scratch), scratch)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "tag")
     least = keyed.groupBy("key").agg(F.min(order).alias("first"))
     kept = least.join(roots, least["key"] == roots["u"], "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.id").alias("__id"), F.col("first.key").alias("__kept"))
-    rows = docs.withColumn("__key", text_key(text_col))
-    same = (rows["__key"] == kept["__kept"]) & rows[id_col].eqNullSafe(kept["__id"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")
+    hashed = [f"c{i}" for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+    one = W.partitionBy("key", "tag").orderBy(F.xxhash64(*hashed))
+    out = rows.join(kept.select("first.key", "first.tag"), ["key", "tag"], "left_semi").withColumn("copy", F.row_number().over(one))
+    return out.where("copy = 1").select(*plain.columns).toDF(*names)

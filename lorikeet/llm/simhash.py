@@ -16,7 +16,7 @@ large-star / small-star rounds join the stars across partitions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import Scratch, shuffle_partitions, table
+from lorikeet.llm.common import Scratch, hot_limit, join_groups, shuffle_partitions, table
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -69,9 +69,9 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def fingerprints(texts: list[bytes | None], k: int = SHINGLE) -> np.ndarray:
-    """A bit is 1 if it is 1 in over half the shingles' hashes."""
-    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+def majority(n: int, found: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Fingerprints of ``n`` texts from (text, hashes of some of its shingles): a bit is 1 if it is 1 in over half the hashes."""
+    ones, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
     held: list[tuple[int, np.ndarray]] = []
 
     def flush() -> None:
@@ -83,18 +83,23 @@ def fingerprints(texts: list[bytes | None], k: int = SHINGLE) -> np.ndarray:
             held.clear()
 
     waiting = 0
-    for i, text in enumerate(texts):
-        for x in shingle_hashes(text, k):
+    for i, x in found:
+        if len(x):
             held.append((i, x))
             waiting += len(x)
-            if waiting > 100_000:
-                flush()
-                waiting = 0
+        if waiting > 100_000:
+            flush()
+            waiting = 0
     flush()
     bits = (2 * ones > total[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def fingerprints(texts: list[bytes | None], k: int = SHINGLE) -> np.ndarray:
+    """Fingerprints over the shingles of each text, repeats included."""
+    return majority(len(texts), ((i, x) for i, text in enumerate(texts) for x in shingle_hashes(text, k)))
+
+
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """``id_col, fp`` (the fingerprint as a signed long) for every row."""
 
@@ -288,15 +293,17 @@ def star_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``u, root`` for each node of ``edges`` (u, v) that isn't itself the least of its component.
 
     Alternates large-star and small-star; minima are taken by map-side combined aggregates and joined
-    back, so a hub's rows are never in one group. Each round is a table of its own.
+    back with hubs dealt to several tasks. Each round is a table of its own.
     """
     now, was = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    limit = hot_limit(edges.sparkSession, 2 * now.count())
+    least, size = F.min("v").alias("m"), F.count(F.lit(1)).alias("n")
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("u <> m")).distinct()
+        low = both.groupBy("u").agg(least, size).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_groups(both, low, ["u"], "n", limit, ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(least, size)
+        small = join_groups(large, low, ["u"], "n", limit, ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
         after = scratch.keep(small)
         seen = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         scratch.drop(now)
@@ -314,25 +321,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are null. Empty input gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(with_fingerprint(docs, id_col, text_col, k))
-    roots = star_components(near_links(prints.select("fp").distinct(), scratch, limit), scratch)
-    rooted = prints.join(roots, prints["fp"] == roots["u"], "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return rooted.join(least, "root").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, with all columns: that of the least id, null ids last; ids may repeat."""
-    scratch = Scratch(docs.sparkSession, "near")
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    # one row per text, named by its hash: components are of texts, not of ids
-    texts = docs.groupBy(key.alias("__key")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("first"), F.any_value(text_col).alias("text"))
-    texts = scratch.keep(texts)
-    parts = simhash_components(texts, "__key", "text", **options).select("__key", "component_id")
-    order = F.struct("first.none", "first.id", "__key")
-    kept = texts.join(parts, "__key").groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.__key").alias("__kept"))
-    rows = docs.withColumn("__key", key)
-    return rows.join(kept, (rows["__key"] == kept["__kept"]) & rows[id_col].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")
+    prints = scratch.keep(with_fingerprint(docs, id_col, text_col, k).toDF("id", "fp"))
+    # a row per fingerprint, counted on the map side; rows meet their component through it
+    each = scratch.keep(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = star_components(near_links(each.select("fp"), scratch, limit), scratch)
+    each = scratch.keep(each.join(roots, each["fp"] == roots["u"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = scratch.keep(each.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")))
+    hot = hot_limit(docs.sparkSession, prints.count())
+    named = join_groups(each.select("fp", "n", "root"), least, ["root"], "prints", hot, ["fp"]).select("fp", "n", "component_id")
+    out = join_groups(prints, scratch.keep(named), ["fp"], "n", hot, ["id"])
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lorikeet.llm import chatformat, exact_dedup, imatch, langid, linededup, lmscore, mixing, packing, simhash, toxicity
+from lorikeet.llm import chatformat, exact_dedup, imatch, langid, linededup, lmscore, mixing, neardup, packing, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls, empty and blank texts, repeated rows and ids, extra columns whose names operators might use.
@@ -59,7 +59,7 @@ ALL = {
     "mix": mixing.mix_sources,
     "mixed": mixing.mixed_documents,
     "simhash": simhash.simhash_components,
-    "near": simhash.drop_near_copies,
+    "near": neardup.drop_near_copies,
     "pack": PACK,
     "lang": lambda d: langid.detect(d, langid.fit(d)),
     "toxic": lambda d: toxicity.score_toxicity(d, toxicity.Model({"=bad": 20.0}, -10.0, 1.0)),

@@ -89,8 +89,19 @@ def test_recall_of_the_bands_at_the_least_similarity():
 REPEATED = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon zeta"), (2, "one two three four five six"), (None, "alone as can be and no copy"), (None, "alone as can be and no copy")]
 
 
-@pytest.mark.parametrize("drop", [simhash.drop_near_copies, neardup.drop_near_copies])
-def test_rows_not_ids_are_kept(spark, drop):
-    rows = spark.createDataFrame([*REPEATED, (2, "nothing like any of the others here")], "doc_id long, text string")
-    got = sorted((r.doc_id or 0, r.text) for r in drop(rows).collect())
+@pytest.mark.parametrize("parts", [2, 3, 7])
+def test_rows_not_ids_are_kept(spark, parts):
+    rows = spark.createDataFrame([*REPEATED, (2, "nothing like any of the others here")], "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id or 0, r.text) for r in neardup.drop_near_copies(rows).collect())
     assert got == [(0, REPEATED[3][1]), (1, REPEATED[0][1]), (2, "nothing like any of the others here"), (2, REPEATED[2][1])]
+
+
+@pytest.mark.parametrize("limit", [2, 10**9])
+def test_hot_groups_change_nothing(spark, edited, monkeypatch, limit):
+    """Every key above two rows is dealt to several tasks, or none is."""
+    from lorikeet.llm import common
+
+    for module in (neardup, simhash):
+        monkeypatch.setattr(module, "hot_limit", lambda *a: limit)
+    assert common.hot_limit(spark, 0) == common.LEAST_HOT
+    assert kept(spark, edited) == sorted(set(brute_groups(edited)))
