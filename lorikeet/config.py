@@ -34,6 +34,8 @@ class Settings:
     max_image_side: int = 1280
     append_rows: int = 500
     embed_batch: int = 2048
+    #: Stands over the context in a prompt; answers must not quote it.
+    context_heading: str = "OFFICIAL INFORMATION"
 
 
 DEFAULTS = Settings()

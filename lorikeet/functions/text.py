@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +25,9 @@ def number_text(x: Column, pattern: str) -> Column:
 
 # ---------------------------------------------------------------- P1-P3, P5-P6: keywords
 
-#: Look-alike letters, invisible characters, digits and marks that stand for letters.
-HOMOGLYPHS = (("а", "a"), ("е", "e"), ("о", "o"), ("р", "p"), ("с", "c"), ("х", "x"), ("і", "i"))
+#: Look-alike letters (six Cyrillic ones and the Greek omicron), invisible characters, digits
+#: and marks that stand for letters.
+HOMOGLYPHS = (("а", "a"), ("ο", "o"), ("е", "e"), ("р", "p"), ("с", "c"), ("х", "x"), ("о", "o"))
 INVISIBLE = "​‌‍﻿⁠"
 LEET = ("013457@$", "oieastas")
 
@@ -107,18 +109,19 @@ def clipped_history(history: Column, last: int = 6, chars: int = 100) -> Column:
 
 # ---------------------------------------------------------------- P13-P15: answers
 
-_ITEM = r"^\s*([*\-]|\d+\.)\s"
+#: What a list item looks like at the start of a line, and bullets and numbers inside one.
+LIST_ITEM = r"^\s*([*\-]|\d+\.)\s"
+INLINE_BULLET = r"(?<=[^\n])\s+([*\-])\s+(?=\w)"
+INLINE_NUMBER = r"(?<=[^\n])\s+(\d+)\.\s+(?=\w)"
 
 
 def format_answer(text: Column) -> Column:
     """List items on lines of their own, and a blank line before each list."""
-    text = F.regexp_replace(text, r"(?<=[^\n])\s+([*\-])\s+(?=\w)", "\n$1 ")
-    text = F.regexp_replace(text, r"(?<=[^\n])\s+(\d+)\.\s+(?=\w)", "\n$1. ")
-    lines = F.split(text, "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, INLINE_BULLET, "\n$1 "), INLINE_NUMBER, "\n$1. "), "\n")
 
     def line(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.element_at(lines, i)).otherwise(F.lit(""))
-        opens = x.rlike(_ITEM) & (i > 0) & ~before.rlike(_ITEM) & (strip(before) != "")
+        opens = x.rlike(LIST_ITEM) & (i > 0) & ~before.rlike(LIST_ITEM) & (strip(before) != "")
         return F.when(opens, F.concat(F.lit("\n"), x)).otherwise(x)
 
     return strip(F.array_join(F.transform(lines, line), "\n"))
@@ -144,12 +147,11 @@ LEAKED_PREFIXES = (
     r"^\s*(?:paragraf biasa|bullet|nomor|tanpa bullet)\s*[:：]\s*",
 )
 #: Closing remarks on where an answer comes from.
-_TAIL = r"[^.!?]*[.!?]?\s*$"
 LEAKED_SENTENCES = (
-    rf"\s*Informasi\s+ini\s+(?:didasarkan|berasal|diambil|diperoleh|bersumber){_TAIL}",
-    rf"\s*Data\s+ini\s+(?:didasarkan|berasal|diambil|diperoleh|bersumber){_TAIL}",
-    rf"\s*Menurut\s+(?:dokumen|data|ringkasan|sumber|informasi)\b{_TAIL}",
-    rf"\s*Berdasarkan\s+(?:dokumen|data|ringkasan|sumber|informasi|catatan)\b{_TAIL}",
+    r"\s*Informasi\s+ini\s+(?:didasarkan|berasal|diambil|diperoleh|bersumber)[^.!?]*[.!?]?\s*$",
+    r"\s*Data\s+ini\s+(?:didasarkan|berasal|diambil|diperoleh|bersumber)[^.!?]*[.!?]?\s*$",
+    r"\s*Menurut\s+(?:dokumen|data|ringkasan|sumber|informasi)\b[^.!?]*[.!?]?\s*$",
+    r"\s*Berdasarkan\s+(?:dokumen|data|ringkasan|sumber|informasi|catatan)\b[^.!?]*[.!?]?\s*$",
 )
 
 
@@ -160,12 +162,12 @@ def redact_token(text: Column) -> Column:
     return text
 
 
-def redact(text: Column, heading: str | None = None) -> Column:
-    """Prefixes, sentences that give away sources (``heading``: a context heading never to be quoted), white space, categories."""
+def redact(text: Column, heading: str = DEFAULTS.context_heading) -> Column:
+    """Prefixes, sentences that quote the prompt's ``heading`` or give away sources, white space, categories."""
     for pattern in LEAKED_PREFIXES:
         text = F.regexp_replace(text, f"(?i){pattern}", "")
-    quoted = (rf"[A-Z][^.!?]*?(?:{heading})[^.!?]*?[.!?]",) if heading else ()
-    for pattern in (*quoted, *LEAKED_SENTENCES):
+    words = r"\s+".join(re.escape(w) for w in heading.split())
+    for pattern in (rf"[A-Z][^.!?]*?(?:{words})[^.!?]*?[.!?]", *LEAKED_SENTENCES):
         text = F.regexp_replace(text, f"(?is){pattern}", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+\n", "\n"), r"\n\s*\n+", "\n\n")
     return redact_token(strip(text))
@@ -281,3 +283,43 @@ def column_letter(n: Column) -> Column:
 def words_of(answer: Column) -> Column:
     """R2: a finished answer as the deltas of a stream."""
     return F.transform(F.filter(F.split(answer, " "), lambda w: w != ""), lambda w: F.concat(w, F.lit(" ")))
+
+
+# ---------------------------------------------------------------- prompts, telemetry, progress
+
+
+def prompt(history: Column, context: Column, question: Column, condensed: Column, heading: str = DEFAULTS.context_heading) -> Column:
+    """With a history its lines and the original question, without one the condensed question; the context between."""
+    lines = F.when(F.coalesce(F.size(history), F.lit(0)) > 0, format_history(history))
+    return F.concat(F.coalesce(F.concat(F.lit("Earlier:\n"), lines, F.lit("\n\n")), F.lit("")), F.lit(f"{heading}\n"), context, F.lit("\n\nQuestion: "), F.when(lines.isNotNull(), question).otherwise(condensed))
+
+
+def overlay(base: Column, own: Column) -> Column:
+    """A map with the entries of another laid over its own."""
+    own = F.coalesce(own, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
+def duration_text(seconds: Column) -> Column:
+    """``1h 2m 3s``, without leading parts that are 0."""
+    s = F.floor(seconds).cast("long")
+    part = lambda x, unit: F.concat(F.floor(x).cast("string"), F.lit(unit))
+    short = F.concat(part(s / 60 % 60, "m "), part(s % 60, "s"))
+    return F.when(s >= 3600, F.concat(part(s / 3600, "h "), short)).when(s >= 60, short).otherwise(part(s, "s"))
+
+
+def progress_bar(done: Column, total: Column, width: int = 30) -> Column:
+    """``[###...]  42.0%``."""
+    share = F.coalesce(F.try_divide(done.cast("double"), total.cast("double")), F.lit(0.0))
+    filled = F.floor(share * width).cast("int")
+    return F.concat(F.lit("["), F.repeat(F.lit("#"), filled), F.repeat(F.lit("."), F.lit(width) - filled), F.lit("] "), F.format_string("%.1f", share * 100), F.lit("%"))
+
+
+def throughput(done: Column, seconds: Column) -> Column:
+    """Documents a second; 0 before the first second."""
+    return F.coalesce(F.try_divide(done.cast("double"), seconds.cast("double")), F.lit(0.0))
+
+
+def time_left(done: Column, total: Column, seconds: Column) -> Column:
+    """Seconds that the rest takes at the speed so far; 0 where there is none yet."""
+    return F.coalesce(F.try_divide((total - done).cast("double"), throughput(done, seconds)), F.lit(0.0))

@@ -16,8 +16,32 @@ def latest_entries(cache: DataFrame, now: Column, ttl_s: int = DEFAULTS.cache_tt
     return live.groupBy("key").agg(F.max_by(F.struct("answer", "cached_at"), "cached_at").alias("e")).select("key", "e.*")
 
 
-def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """Adds ``cached_answer``: by the condensed question's key, otherwise by the original's."""
+def put(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """K9: the cache with new entries; the newest of a key counts when it is read."""
+    return cache.unionByName(entries)
+
+
+def invalidate(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """K9: the cache without the keys."""
+    return cache.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def evict(entries: DataFrame, max_bytes: int, used: str = "used_at", size: str = "bytes") -> DataFrame:
+    """The entries that stay in a cache of limited size: the last used, as far as their sizes add up.
+
+    Sizes are summed up per range of the time of use first, then within a range, so no task sorts all entries.
+    """
+    placed = entries.repartitionByRange(F.col(used).desc()).withColumn("__pid", F.spark_partition_id())
+    before = placed.groupBy("__pid").agg(F.sum(size).alias("__s")).select("__pid", (F.sum("__s").over(W.orderBy("__pid")) - F.col("__s")).alias("__before"))
+    inside = W.partitionBy("__pid").orderBy(F.col(used).desc(), "key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = placed.withColumn("__upto", F.sum(size).over(inside)).join(before, "__pid")
+    return upto.where(F.col("__upto") + F.col("__before") <= max_bytes).drop("__pid", "__upto", "__before")
+
+
+def lookup(requests: DataFrame, entries: DataFrame, available: bool = True) -> DataFrame:
+    """Adds ``cached_answer``: by the condensed question's key, otherwise by the original's; null in an outage."""
+    if not available:
+        return requests.withColumn("cached_answer", F.lit(None).cast("string"))
     a = entries.select(F.col("key").alias("__k1"), F.col("answer").alias("__a1"))
     b = entries.select(F.col("key").alias("__k2"), F.col("answer").alias("__a2"))
     rows = requests.withColumn("__c", tx.cache_key(F.col("role"), F.col("condensed"))).withColumn("__o", tx.cache_key(F.col("role"), F.col("question")))

@@ -80,6 +80,19 @@ def session_rollup(messages: DataFrame, session: str = "session_id", order: str
     return messages.groupBy(session).agg(F.max(order).alias("last_message_at"), F.count_if(F.col("role") == "assistant").alias("message_count"))
 
 
+def insert_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """K8: the log with new user and assistant messages; an id that is there already stays as it is."""
+    fresh = new.where(F.col("role").isin("user", "assistant")).join(messages.select("id"), "id", "left_anti")
+    return messages.unionByName(fresh, allowMissingColumns=True)
+
+
+def touch_sessions(sessions: DataFrame, new: DataFrame, session: str = "session_id", order: str = "created_at") -> DataFrame:
+    """K8: sessions (id, last_message_at, message_count) after new messages; only answers count."""
+    seen = session_rollup(new, session, order).select(F.col(session).alias("id"), F.col("last_message_at").alias("__at"), F.col("message_count").alias("__n"))
+    touched = sessions.join(seen, "id", "left")
+    return touched.withColumn("last_message_at", F.greatest("last_message_at", "__at")).withColumn("message_count", F.coalesce("message_count", F.lit(0)) + F.coalesce("__n", F.lit(0))).drop("__at", "__n")
+
+
 def recent_sessions(sessions: DataFrame, user: str, limit: int = 20) -> DataFrame:
     """A user's latest sessions that aren't archived."""
     return sessions.where((F.col("user_username") == user) & ~F.coalesce("is_archived", F.lit(False))).orderBy(F.col("last_message_at").desc_nulls_last(), "id").limit(limit)

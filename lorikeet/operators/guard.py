@@ -23,19 +23,47 @@ def keyword_lists(rows: DataFrame) -> dict[str, list[str]]:
     return {k: found.get(k, []) for k in ("hard_block", "soft_flag", "safe_context")}
 
 
+def load_keywords(text: str) -> dict[str, list[str]]:
+    """The lists of a YAML or JSON file's text as rows for ``keyword_lists``; each must be there and be a list."""
+    try:
+        import yaml
+
+        raw = yaml.safe_load(text)
+    except ImportError:  # JSON is YAML, too
+        import json
+
+        raw = json.loads(text)
+    if not isinstance(raw, dict):
+        raise ValueError("the keyword file must hold a mapping")
+    for name in KEYWORDS:
+        if not isinstance(raw.get(name), list):
+            raise ValueError(f"the keyword file has no list {name}")
+    return {name: [str(p) for p in raw[name] if p] for name in KEYWORDS}
+
+
 def keyword_verdict(norm: Column, lists: dict[str, list[str]]) -> Column:
-    """Struct (mode, matched, safe) for normalised text; phrases match anywhere in it."""
-    found = lambda name: F.filter(F.lit(lists[name]), lambda p: F.contains(norm, p)) if lists[name] else F.array().cast("array<string>")
+    """Struct (mode, matched, safe) for normalised text; phrases match anywhere in it.
+
+    The text, and what is found in it, are elements of arrays that a lambda goes over: so each is computed
+    once per row and not once per phrase and branch.
+    """
     none = F.array().cast("array<string>")
-    hard, soft, safe = found("hard_block"), found("soft_flag"), found("safe_context")
+    found = lambda text, name: F.filter(F.lit(lists[name]), lambda p: F.contains(text, p)) if lists[name] else none
     say = lambda mode, matched, ok: F.struct(F.lit(mode).alias("mode"), matched.alias("matched"), ok.alias("safe"))
-    return (
-        F.when(F.coalesce(norm, F.lit("")) == "", say("pass", none, none))
-        .when(F.size(hard) > 0, say("block", hard, none))
-        .when(F.size(soft) == 0, say("pass", none, none))
-        .when(F.size(safe) > 0, say("pass", soft, safe))
-        .otherwise(say("flag", soft, none))
-    )
+
+    def decide(m: Column) -> Column:
+        hard, soft, safe = m["hard"], m["soft"], m["ok"]
+        return (
+            F.when(F.size(hard) > 0, say("block", hard, none))
+            .when(F.size(soft) == 0, say("pass", none, none))
+            .when(F.size(safe) > 0, say("pass", soft, safe))
+            .otherwise(say("flag", soft, none))
+        )
+
+    def matches(text: Column) -> Column:
+        return F.struct(found(text, "hard_block").alias("hard"), found(text, "soft_flag").alias("soft"), found(text, "safe_context").alias("ok"))
+
+    return F.transform(F.transform(F.array(F.coalesce(norm, F.lit(""))), matches), decide)[0]
 
 
 def moderation_verdict(output: Column) -> Column:
@@ -100,6 +128,19 @@ def private_mode(token: Column, http_status: Column, failed: Column) -> Column:
     return F.when(F.coalesce(token, F.lit("")) == "", "get_info_private_unauthenticated").when(failed, F.lit(None)).when(http_status == 401, "get_info_private_unauthorized").when(http_status >= 400, "get_info_private_error").otherwise("get_info_private")
 
 
+def private_text(tool: Column, data: Column) -> Column:
+    """What a private record (JSON) says, by the tool that fetched it; other tools' data is shown as it is."""
+    at = lambda path, none: F.coalesce(F.get_json_object(data, path), F.lit(none))
+    courses = F.from_json(F.get_json_object(data, "$.courses"), "array<struct<name:string,sks:string>>")
+    lines = F.array_join(F.transform(courses, lambda c: F.concat(F.lit("- "), F.coalesce(c["name"], F.lit("N/A")), F.lit(" ("), F.coalesce(c["sks"], F.lit("?")), F.lit(" credits)"))), "\n")
+    return (
+        F.when(tool == "get_ipk", F.concat(F.lit("Your grade average is **"), at("$.ipk", "N/A"), F.lit("** with **"), at("$.total_sks", "N/A"), F.lit(" credits**.")))
+        .when((tool == "get_krs") & (F.coalesce(F.size(courses), F.lit(0)) <= 0), "Your study plan is empty.")
+        .when(tool == "get_krs", F.concat(F.lit("Your study plan:\n"), lines))
+        .otherwise(F.concat(F.lit("Your data: "), data))
+    )
+
+
 ACCESS = {"public": ["public"], "student": ["public", "student"], "staff": ["public", "student", "staff"], "admin": ["public", "student", "staff", "admin"]}
 
 

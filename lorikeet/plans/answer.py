@@ -29,17 +29,22 @@ def answer(
     identity: tuple[str, ...] = ("who are you",),
     acronyms: dict[str, str] | None = None,
     disclaimer: str = "\n\n(Please check this answer.)",
+    prompts: bool = False,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """request_id, mode, answer, band, top_score, sources for requests (request_id, question, history, role) over chunks with ``vec``.
 
     Verdicts come first; just the questions that are still open are embedded and searched. Models are
-    providers, functions from Columns to a Column.
+    providers, functions from Columns to a Column; with ``prompts`` the generator gets a whole prompt and not
+    the context alone.
     """
     rows = guard.answer_questions(requests, lists, moderate, classify, list(identity))
     condensed = tx.condense_result(F.col("question"), condense(tx.format_history(tx.clipped_history(F.col("history"))), F.col("question")))
     rows = rows.withColumn("c", condensed).withColumn("condensed", F.col("c.question")).withColumn("is_ack", F.col("c.is_ack")).drop("c")
-    rows = rows.withColumn("normal", tx.normalise(F.col("condensed"))).withColumn("condensed_keyword", guard.keyword_verdict(F.col("normal"), lists)).withColumn("private_mode", F.lit(None).cast("string"))
+    rows = rows.withColumn("normal", tx.normalise(F.col("condensed"))).withColumn("condensed_keyword", guard.keyword_verdict(F.col("normal"), lists))
+    # the private route is open where requests bring what its call gave: token, tool, http_status, failed, data
+    private = {"token", "tool", "http_status", "failed", "data"} <= set(requests.columns)
+    rows = rows.withColumn("private_mode", guard.private_mode(F.col("token"), F.col("http_status"), F.col("failed")) if private else F.lit(None).cast("string"))
     rows = caching.lookup(rows, cache).withColumn("cache_hit", F.col("cached_answer").isNotNull())
     # a route that needs no retrieval is known by now: with a perfect score the mode would be rag for the rest
     early = rows.withColumn("top_score", F.lit(1.0)).withColumn("n_nodes", F.lit(1)).withColumn("mode", guard.answer_mode(settings.score_threshold))
@@ -58,11 +63,29 @@ def answer(
     found = scores.join(sources, "query_id").join(retrieval.context(best, text_col="labelled"), "query_id")
 
     out = early.drop("top_score", "n_nodes", "mode").join(found.withColumnRenamed("query_id", "request_id"), "request_id", "left").withColumn("mode", guard.answer_mode(settings.score_threshold))
-    fresh = tx.with_disclaimer(tx.format_answer(tx.redact(generate(F.col("context")))), F.col("band"), disclaimer)
+    asked_for = tx.prompt(F.col("history"), F.col("context"), F.col("question"), F.col("condensed"), settings.context_heading) if prompts else F.col("context")
+    fresh = tx.with_disclaimer(tx.format_answer(tx.redact(generate(asked_for), settings.context_heading)), F.col("band"), disclaimer)
     said = F.when(F.col("mode") == "cache_hit", F.col("cached_answer")).when(F.col("mode") == "rag", fresh)
+    if private:
+        said = said.when(F.col("mode") == "get_info_private", guard.private_text(F.col("tool"), F.col("data")))
     return out.select("request_id", "mode", said.alias("answer"), "band", F.round("top_score", 4).alias("top_score"), F.when(F.col("mode") == "rag", F.col("sources")).alias("sources"))
 
 
+def answer_images(requests: DataFrame, lists: dict[str, list[str]], moderate: Callable[[Column], Column], classify: Callable[[Column], Column], see: Callable[[Column, Column], Column], settings: Settings = DEFAULTS) -> DataFrame:
+    """request_id, mode and answer for requests (request_id, question, images array<struct<mime,data>>).
+
+    Images that break a rule are left out; ``see`` makes an answer of the question and the rest, null where it fails.
+    """
+    rows = guard.answer_questions(requests, lists, moderate, classify, [])
+    valid = F.filter(F.transform("images", lambda x, i: F.struct(x["mime"].alias("mime"), x["data"].alias("data"), guard.image_error(x["mime"], x["data"], i, settings).alias("error"))), lambda x: x["error"].isNull())
+    rows = rows.withColumn("valid", valid)
+    early = (F.col("keyword.mode") == "block") | ~F.col("moderation.safe") | ((F.col("intent.intent") == "out_of_scope") & (F.col("intent.confidence") >= settings.image_reject))
+    seen = rows.where(~early).withColumn("generated", F.when(F.size("valid") > 0, see(F.col("question"), F.col("valid"))))
+    rest = rows.where(early).withColumn("generated", F.lit(None).cast("string"))
+    out = seen.unionByName(rest).withColumn("mode", guard.vision_mode(settings.image_reject))
+    return out.select("request_id", "mode", F.when(F.col("mode") == "vision", tx.format_answer(tx.redact(F.col("generated"), settings.context_heading))).alias("answer"))
+
+
 def cache_entries(requests: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
     """What an answered batch adds to the cache: rag answers, under the question's key."""
     done = answers.where("mode = 'rag'").join(requests, "request_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,8 +97,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, doc_id, round(score, 4) AS score, final_rank FROM k WHERE final_rank <= 6""")
 def lexical_rerank(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
-    pairs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(q))  # a stated set of questions, against all rows
-    best = retrieval.rerank(pairs.withColumn("score", F.lit(0.0)), retrieval.lexical_score(F.col("question"), F.col("text")), query_id="item_id", tie="doc_id")
+    scored = retrieval.lexical_candidates(q, table(spark, sf_dir, "documents").select("doc_id", "text"), query_id="item_id", question="question")
+    best = retrieval.rerank(scored, F.col("score"), query_id="item_id", tie="doc_id")
     return best.select("item_id", "doc_id", F.round("final_score", 4).alias("score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
@@ -128,25 +129,6 @@ def chunk_lines(spark, sf_dir):
     return _line_chunks(spark, sf_dir).select(F.col("file_name").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n"), F.md5("text").alias("h"))
 
 
-@query(
-    _CHUNKS
-    + """, h AS (SELECT doc_id % 97 AS query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id, chunk_index) AS rank FROM c WHERE text <> '' AND chunk_index % 5 = 3),
-k AS (SELECT * FROM h WHERE rank <= 12),
-n AS (SELECT k.query_id, c.doc_id, c.chunk_index, min(k.rank) AS rank FROM k JOIN c ON c.doc_id = k.doc_id AND c.chunk_index BETWEEN k.chunk_index - 2 AND k.chunk_index + 2 AND c.text <> '' GROUP BY ALL),
-u AS (SELECT query_id, doc_id, chunk_index, rank, 0 AS kind FROM k UNION ALL
-      SELECT query_id, doc_id, chunk_index, rank, 1 FROM n ANTI JOIN k USING (query_id, doc_id, chunk_index)),
-p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, rank, doc_id::VARCHAR, chunk_index) AS place FROM u)
-SELECT query_id, doc_id, chunk_index::BIGINT AS chunk_index, kind::BIGINT AS kind, place::BIGINT AS place FROM p WHERE place <= 30 OR kind = 0"""
-)
-def neighbour_expand(spark, sf_dir):
-    chunks = _line_chunks(spark, sf_dir)
-    qid = F.col("file_name").cast("long") % 97
-    w = W.partitionBy("query_id").orderBy(F.col("file_name").cast("long"), "chunk_index")
-    hits = chunks.where("chunk_index % 5 = 3").withColumn("query_id", qid).withColumn("rank", F.row_number().over(w)).where("rank <= 12").withColumn("score", F.lit(1.0))
-    out = retrieval.expand_neighbours(hits, chunks)
-    return out.select("query_id", F.col("file_name").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("kind").cast("long").alias("kind"), F.col("place").cast("long").alias("place"))
-
-
 @query(
     _CHUNKS
     + """, q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM benchmark WHERE item_id % 50 = 0),
@@ -159,18 +141,84 @@ u AS (SELECT query_id, doc_id, chunk_index, rank, 0 AS kind FROM k UNION ALL
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, rank, doc_id::VARCHAR, chunk_index) AS place FROM u)
 SELECT query_id, doc_id, chunk_index::BIGINT AS chunk_index, kind::BIGINT AS kind, place::BIGINT AS place FROM p WHERE place <= 30 OR kind = 0"""
 )
-def neighbour_expand_ranked(spark, sf_dir):
+def neighbour_expand(spark, sf_dir):
     """The hits are each question's best chunks of all documents, by the lexical score."""
-    chunks = _line_chunks(spark, sf_dir)
+    # a chunk table, as an index has: the chunks are read twice, and cut once
+    path = f"{_shared(spark)}/lorikeet-{spark.sparkContext.applicationId}/chunks-{uuid.uuid4().hex}"
+    _line_chunks(spark, sf_dir).write.parquet(path)
+    chunks = spark.read.parquet(path)
     q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    pairs = chunks.join(F.broadcast(q))  # a stated set of questions, against all chunks
-    scored = pairs.withColumn("score", retrieval.lexical_score(F.col("question"), F.col("text"))).withColumn("tie", F.struct(F.col("file_name").cast("long"), "chunk_index"))
-    best = retrieval.rerank(scored, F.col("score"), n=12, tie="tie").withColumnRenamed("final_rank", "rank")
-    out = retrieval.expand_neighbours(best, chunks)
+    places = chunks.select(F.struct(F.col("file_name").cast("long").alias("file_name"), "chunk_index").alias("at"), "text")
+    scored = retrieval.lexical_candidates(q, places, 12, question="question", id_col="at")
+    best = retrieval.rerank(scored, F.col("score"), n=12, tie="at").withColumnRenamed("final_rank", "rank")
+    hits = best.select("query_id", F.col("at.file_name").cast("string").alias("file_name"), "at.chunk_index", "rank", "score").join(chunks.select("file_name", "chunk_index", "section"), ["file_name", "chunk_index"])
+    out = retrieval.expand_neighbours(hits, chunks)
     return out.select("query_id", F.col("file_name").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("kind").cast("long").alias("kind"), F.col("place").cast("long").alias("place"))
 
 
-@query()
+_HTML = r"""
+WITH RECURSIVE b AS (
+  SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<!--.*?-->', '', 'g') AS body FROM pages),
+x AS (
+  SELECT page_id, unnest(regexp_extract_all(body, '(?is)<(?:h1|p)\b[^>]*>.*?</(?:h1|p)>')) AS raw, generate_subscripts(regexp_extract_all(body, '(?is)<(?:h1|p)\b[^>]*>.*?</(?:h1|p)>'), 1) AS o FROM b),
+y AS (
+  SELECT page_id, o, regexp_matches(raw, '(?i)^<h1') AS title,
+         regexp_replace(replace(replace(replace(replace(replace(regexp_replace(raw, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS t FROM x),
+e AS (
+  SELECT page_id, title, t, row_number() OVER (PARTITION BY page_id ORDER BY o) AS i FROM y WHERE t <> ''),
+f AS (
+  SELECT page_id, i, 0 AS ci, CASE WHEN title THEN t ELSE '' END AS section, CASE WHEN title THEN '# ' || t ELSE t END AS body,
+         length(t) + CASE WHEN title THEN 2 ELSE 0 END AS size, CASE WHEN title THEN '# ' || t ELSE t END AS part, title AS titled, NOT title AS said
+  FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.page_id, e.i,
+         CASE WHEN e.title OR f.size + length(e.t) > 512 THEN f.ci + 1 ELSE f.ci END,
+         CASE WHEN e.title THEN e.t ELSE f.section END,
+         CASE WHEN e.title THEN '# ' || e.t WHEN f.size + length(e.t) > 512 THEN right(f.part, 128) || chr(10) || chr(10) || e.t ELSE f.body || chr(10) || chr(10) || e.t END,
+         CASE WHEN e.title THEN length(e.t) + 2 WHEN f.size + length(e.t) > 512 THEN length(right(f.part, 128)) + length(e.t) ELSE f.size + length(e.t) END,
+         CASE WHEN e.title THEN '# ' || e.t ELSE e.t END,
+         e.title OR (f.size + length(e.t) <= 512 AND f.titled), NOT e.title
+  FROM f JOIN e ON e.page_id = f.page_id AND e.i = f.i + 1)
+SELECT page_id::VARCHAR AS file_name, ci::INT AS chunk_index, arg_max(section, i) AS section,
+       CASE WHEN arg_max(titled, i) AND bool_or(said) THEN 'NarrativeText+Title' WHEN arg_max(titled, i) THEN 'Title' ELSE 'NarrativeText' END AS element_type,
+       1::INT AS page, regexp_replace(arg_max(body, i), '^\s+|\s+$', '', 'g') AS text
+FROM f GROUP BY page_id, ci"""
+
+#: Sentences end at a mark before white space; U+0001 is put there and split at.
+_NARRATIVE = r"""
+WITH RECURSIVE b AS (
+  SELECT doc_id, text, regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g') AS first FROM documents WHERE regexp_matches(text, '\S')),
+h AS (SELECT doc_id, text, left(first, 120) || CASE WHEN length(first) > 120 THEN '...' ELSE '' END AS header FROM b),
+r AS (SELECT *, 400 - greatest(1, floor(length(header) / 3.5)) - 10 AS room FROM h WHERE greatest(1, floor(length(text) / 3.5)) > 400),
+p AS (
+  SELECT doc_id, room, regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '^\s+|\s+$', '', 'g') AS para, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS p FROM r),
+q AS (
+  SELECT doc_id, room, p, CASE WHEN greatest(1, floor(length(para) / 3.5)) <= room THEN [para] ELSE string_split(regexp_replace(para, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS ts FROM p WHERE para <> ''),
+s AS (SELECT doc_id, room, p, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM q),
+g AS (
+  SELECT doc_id, room, p, i, 0 AS k, length(t) AS size FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.doc_id, s.room, s.p, s.i, CASE WHEN greatest(1, floor((g.size + 1 + length(s.t)) / 3.5)) <= s.room THEN g.k ELSE g.k + 1 END,
+         CASE WHEN greatest(1, floor((g.size + 1 + length(s.t)) / 3.5)) <= s.room THEN g.size + 1 + length(s.t) ELSE length(s.t) END
+  FROM g JOIN s ON s.doc_id = g.doc_id AND s.p = g.p AND s.i = g.i + 1),
+u AS (
+  SELECT g.doc_id, g.p, g.k, string_agg(s.t, ' ' ORDER BY g.i) AS part FROM g JOIN s ON s.doc_id = g.doc_id AND s.p = g.p AND s.i = g.i GROUP BY ALL),
+n AS (SELECT doc_id, part, greatest(1, floor(length(part) / 3.5)) AS cost, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) AS n FROM u),
+c AS (
+  SELECT doc_id, n, 0 AS ci, cost AS used FROM n WHERE n = 1
+  UNION ALL
+  SELECT n.doc_id, n.n, CASE WHEN c.used + n.cost <= 400 THEN c.ci ELSE c.ci + 1 END, CASE WHEN c.used + n.cost <= 400 THEN c.used + n.cost ELSE n.cost END
+  FROM c JOIN n ON n.doc_id = c.doc_id AND n.n = c.n + 1),
+d AS (
+  SELECT c.doc_id, c.ci, string_agg(n.part, chr(10) || chr(10) ORDER BY n.n) AS chunk FROM c JOIN n ON n.doc_id = c.doc_id AND n.n = c.n GROUP BY ALL)
+SELECT d.doc_id, d.ci::BIGINT AS chunk_index, count(*) OVER (PARTITION BY d.doc_id) AS total_chunks,
+       CASE WHEN d.ci = 0 OR starts_with(d.chunk, left(h.header, 40)) THEN d.chunk ELSE h.header || chr(10) || chr(10) || d.chunk END AS chunk
+FROM d JOIN h ON h.doc_id = d.doc_id
+UNION ALL
+SELECT doc_id, 0, 1, text FROM h WHERE greatest(1, floor(length(text) / 3.5)) <= 400"""
+
+
+@query(_HTML)
 def chunk_sections(spark, sf_dir):
     """Sections of web pages: titles open them."""
     e = readers.html_elements(table(spark, sf_dir, "pages"))
@@ -179,7 +227,7 @@ def chunk_sections(spark, sf_dir):
     return chunking.chunk_elements(files)
 
 
-@query()
+@query(_NARRATIVE)
 def chunk_narrative(spark, sf_dir):
     return chunking.chunk_narratives(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "chunk")
 
@@ -317,21 +365,64 @@ _LISTS = {"hard_block": ["the", "idiot"], "soft_flag": ["que"], "safe_context":
 _NORM = "translate(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '013457@$', 'oieastas')"
 
 
+#: Disguised texts, and what must come out of them: full-width and Cyrillic letters, a Greek omicron, an
+#: invisible character, digits and marks for letters.
+_DISGUISED = [(-1, "ＴＨＥ", "block", "the"), (-2, "1d1​0t", "block", "idiot"), (-3, "idiοt", "block", "idiot"), (-4, "а quе x", "flag", "que"), (-5, "lе$  qu3", "pass", "que"), (-6, " ​ ", "pass", "")]
+
+
 @query(
     f"""
-WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents),
+WITH n AS (SELECT doc_id, {_NORM} AS t FROM (SELECT doc_id, nfc_normalize(text) AS text FROM documents)),
 m AS (SELECT doc_id, list_filter(['the', 'idiot'], lambda p: contains(t, p)) AS hard, list_filter(['que'], lambda p: contains(t, p)) AS soft, list_filter(['les '], lambda p: contains(t, p)) AS ok, t FROM n)
 SELECT doc_id, CASE WHEN t = '' THEN 'pass' WHEN len(hard) > 0 THEN 'block' WHEN len(soft) = 0 OR len(ok) > 0 THEN 'pass' ELSE 'flag' END AS mode,
-       CASE WHEN t = '' THEN '' WHEN len(hard) > 0 THEN array_to_string(hard, ',') ELSE array_to_string(soft, ',') END AS matched FROM m"""
+       CASE WHEN t = '' THEN '' WHEN len(hard) > 0 THEN array_to_string(hard, ',') ELSE array_to_string(soft, ',') END AS matched FROM m
+UNION ALL
+SELECT * FROM (VALUES {", ".join(f"({i}, '{mode}', '{matched}')" for i, _, mode, matched in _DISGUISED)})"""
 )
 def keyword_verdict(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("v", guard.keyword_verdict(tx.normalise(F.col("text"), compatibility=False), _LISTS))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([x[:2] for x in _DISGUISED], "doc_id long, text string"))
+    d = texts.withColumn("normal", tx.normalise(F.col("text"))).withColumn("v", guard.keyword_verdict(F.col("normal"), _LISTS))
     return d.select("doc_id", F.col("v.mode").alias("mode"), F.array_join("v.matched", ",").alias("matched"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)https?://(localhost|127\\.0\\.0\\.1|192\\.168\\.\\d+\\.\\d+|10\\.\\d+\\.\\d+\\.\\d+)\\S*', '[internal URL]', 'g'), '(?i)eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}', '[TOKEN]', 'g')) AS h FROM documents")
+#: Answers that hit every rule of redaction, and what must be left of them.
+_ANSWERS = [
+    (-1, "Jawaban: see http://localhost:8000/x now", "see [internal URL] now"),
+    (-2, "2-3 kalimat: short", "short"),
+    (-3, "Tanpa bullet: plain", "plain"),
+    (-4, "Format jawaban: I am GPT-4 by OpenAI on Redis", "I am [AI system] by [AI vendor] on [internal system]"),
+    (-5, "It opens at nine. As the OFFICIAL  INFORMATION says, it is so. Come early.", "It opens at nine.  Come early."),
+    (-6, "Fine. Informasi ini berasal dari dokumen", "Fine."),
+    (-7, "Good. Data ini diperoleh dari situs.", "Good."),
+    (-8, "Yes. Menurut dokumen itu benar", "Yes."),
+    (-9, "No. Berdasarkan catatan lama!", "No."),
+    (-10, "a eyJabcdefghijk.abcdefghijkl.abcdefghijkl b https://192.168.1.7/q", "a [TOKEN] b [internal URL]"),
+    (-11, "  one \n\n \n\n two  ", "one\n two"),
+    (-12, "hugging face, llama_index and Mistral AI", "[AI vendor], [internal system] and [AI system] AI"),
+    (-13, "kept üredis and myllama here", "kept üredis and myllama here"),
+]
+
+
+@query(
+    r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\s+\n', chr(10), 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents
+UNION ALL
+SELECT id, md5(said) FROM (VALUES """
+    + ", ".join(f"({i}, '{x}')" for i, _, x in _ANSWERS)
+    + ") AS t(id, said)"
+)
 def redact_output(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.redact_token(F.col("text"))).alias("h"))
+    """The documents hold nothing to redact, so just their white space changes."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([x[:2] for x in _ANSWERS], "doc_id long, text string"))
+    return texts.select("doc_id", F.md5(tx.redact(F.col("text"))).alias("h"))
+
+
+@query("SELECT doc_id, md5(text) AS h FROM documents UNION ALL VALUES (-1, md5(' see [internal URL] ')), (-2, md5(' [AI system]')), (-3, md5('[TOKEN] '))")
+def redact_deltas(spark, sf_dir):
+    """Deltas of a stream keep their white space."""
+    deltas = [(-1, " see http://localhost:1/x "), (-2, " Claude"), (-3, "eyJabcdefghijk.abcdefghijkl.abcdefghijkl ")]
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(deltas, "doc_id long, text string"))
+    return texts.select("doc_id", F.md5(tx.redact_token(F.col("text"))).alias("h"))
 
 
 @query("""
@@ -350,21 +441,12 @@ def source_label(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, text AS original, left(text, CASE WHEN turn % 2 = 0 THEN 4 ELSE 1000 END) AS condensed FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(trim(condensed)) < 5 OR length(condensed) > greatest(3 * length(original), 200) THEN original ELSE condensed END AS question FROM c""")
+WITH c AS (SELECT conv_id, turn, text AS original, CASE turn % 4 WHEN 0 THEN text || ' ' || turn WHEN 1 THEN repeat(text || ' ', 4) WHEN 2 THEN ' ok ' ELSE 'Assistant: ' || text END AS condensed FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR length(trim(condensed)) < 5 OR length(condensed) > greatest(3 * length(original), 200) THEN original ELSE condensed END AS question FROM c""")
 def condense_validate(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    condensed = F.left("text", F.when(F.col("turn") % 2 == 0, 4).otherwise(1000))
-    return c.select("conv_id", "turn", tx.validate_condensed(F.col("text"), condensed).alias("question"))
-
-
-@query("""
-WITH c AS (SELECT conv_id, turn, text AS original, CASE turn % 3 WHEN 0 THEN text || ' ' || turn WHEN 1 THEN repeat(text || ' ', 4) ELSE ' ok ' END AS condensed FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(trim(condensed)) < 5 OR length(condensed) > greatest(3 * length(original), 200) THEN original ELSE condensed END AS question FROM c""")
-def condense_validate_whole(spark, sf_dir):
-    """The stand-ins are made of whole texts: one that is taken, one that is too long, one that is too short."""
-    turn = F.col("turn") % 3
-    condensed = F.when(turn == 0, F.concat("text", F.lit(" "), F.col("turn").cast("string"))).when(turn == 1, F.repeat(F.concat("text", F.lit(" ")), F.lit(4))).otherwise(" ok ")
+    """The stand-ins are made of whole texts: one that is taken, one that is too long, one too short, one with a leaked mark."""
+    turn = F.col("turn") % 4
+    condensed = F.when(turn == 0, F.concat("text", F.lit(" "), F.col("turn").cast("string"))).when(turn == 1, F.repeat(F.concat("text", F.lit(" ")), F.lit(4))).when(turn == 2, " ok ").otherwise(F.concat(F.lit("Assistant: "), "text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.validate_condensed(F.col("text"), condensed).alias("question"))
 
 
@@ -381,11 +463,15 @@ def route_mode(spark, sf_dir):
     return rows.select("conv_id", "turn", guard.answer_mode().alias("mode"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) < 1 THEN 'question is empty' WHEN length(text) > 2000 THEN 'question is too long' WHEN role = 'system' THEN 'role is unknown' END AS error FROM conversations")
+@query("""
+SELECT conv_id, turn, CASE WHEN length(text) < 1 THEN 'question is empty' WHEN length(text) > 2000 THEN 'question is too long' WHEN conv_id % 23 > 20 THEN 'history is too long'
+  WHEN conv_id % 23 > 0 AND (role = 'system' OR conv_id % 5 = 0) THEN 'history has a bad turn' WHEN role = 'system' THEN 'role is unknown' END AS error FROM conversations""")
 def request_errors(spark, sf_dir):
-    none = F.lit(None).cast("array<struct<role:string,content:string>>")
+    """Histories of 0 to 22 turns: the row's own role, with its text or, in every fifth conversation, with none."""
+    said = F.struct("role", F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.left("text", F.lit(4000))).alias("content"))
+    history = F.array_repeat(said, (F.col("conv_id") % 23).cast("int"))
     role = F.when(F.col("role") == "system", "system").otherwise("student")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", guard.request_error(F.col("text"), none, role).alias("error"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", guard.request_error(F.col("text"), history, role).alias("error"))
 
 
 # ---------------------------------------------------------------- cache, limits, breaker, telemetry
@@ -513,8 +599,6 @@ def date_text(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_dedup(spark, sf_dir):
     """Events that arrive twice count once."""
-    import uuid
-
     from lorikeet.streaming import jobs
 
     e = jobs.event_stream(spark, sf_dir)
@@ -526,8 +610,6 @@ def stream_dedup(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
-    import uuid
-
     from lorikeet.streaming import jobs
 
     name = f"tumbling_{uuid.uuid4().hex}"
@@ -535,17 +617,26 @@ def stream_tumbling(spark, sf_dir):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    import tempfile
+@query("""
+WITH g AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 1800000000, true) AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
+SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS start_us FROM s GROUP BY user_id, sid""")
+def stream_session(spark, sf_dir):
+    from lorikeet.streaming import jobs
 
-    return f"{tempfile.gettempdir()}/checkpoints"
+    name = f"session_{uuid.uuid4().hex}"
+    out = jobs.run_to_table(jobs.sessions(jobs.event_stream(spark, sf_dir)), name, "complete", f"{_shared(spark)}/{name}")
+    return out.select("user_id", "n", F.unix_micros("session_window.start").alias("start_us"))
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that all share: spark.checkpoint.dir, or, where a session on one machine names none, one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_lineitem(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+from lorikeet.plans import narration, operations  # noqa: E402,F401  they register their queries

@@ -29,6 +29,11 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(file_name(F.col("path")).alias("file_name"), F.sha2("content", 256).alias("file_hash"), "content")
 
 
+def listed(files: DataFrame, name: str = "file_name") -> DataFrame:
+    """A listing in order of its names."""
+    return files.orderBy(name)
+
+
 def extraction_strategy(pages: DataFrame) -> DataFrame:
     """Per file ``hi_res`` if its first five pages have more than one image on average, otherwise ``fast``; pages (file_name, page, n_images)."""
     first = F.col("page") <= 5
@@ -98,6 +103,17 @@ def users(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("username string, password_hash string, name string, nim string, role string, is_active boolean").option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
+def chat_log(spark: SparkSession, path: str, since=None) -> DataFrame:
+    """Messages (id, session_id, role, content, created_at, ...) of a log table, from a time on; the filter reaches the scan."""
+    rows = spark.read.parquet(path)
+    return rows if since is None else rows.where(F.col("created_at") >= F.lit(since))
+
+
+def sheet_state(spark: SparkSession, path: str) -> DataFrame:
+    """The numbers and message ids of a review sheet kept as CSV with a header; just these two columns are read."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select("no", "source_message_id")
+
+
 def stored_objects(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
     """Key, content and content_type of the keys that are safe and there."""
     safe = keys.where(~F.contains("key", F.lit("..")) & ~F.startswith("key", F.lit("/")))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorikeet.functions import text as tx
 
+#: Folders, by a hash of the key, of a table that a stream is synced to.
+SYNC_PARTS = 64
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream; times are zoned, as watermarks need."""
@@ -41,11 +45,37 @@ def request_windows(events: DataFrame, client: str = "user_id", limit: int = 10,
     return n.withColumn("rejected", F.greatest(F.col("n") - limit, F.lit(0)))
 
 
+def request_metrics(requests: DataFrame, path: str = "path", ms: str = "ms", unit: str = "minute", slow_ms: float = 1000.0) -> DataFrame:
+    """Requests, slow ones and the longest, per path and clock window; a stream's times need a watermark."""
+    start = F.window("ts", f"1 {unit}")["start"] if requests.isStreaming else F.date_trunc(unit, "ts")
+    if requests.isStreaming:
+        requests = requests.withWatermark("ts", "10 minutes")
+    return requests.groupBy(path, start.alias("start")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col(ms) > slow_ms).alias("slow"), F.max(ms).alias("longest"))
+
+
+def request_log(requests: DataFrame) -> DataFrame:
+    """Requests (request_id, ts, path, status, ms) as JSON lines with their correlation id."""
+    level = F.when(F.col("status") >= 500, "error").when(F.col("status") >= 400, "warning").otherwise("info")
+    return requests.select(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), level.alias("level"), F.lit("request").alias("event"), "request_id", "path", "status", F.round("ms", 1).alias("duration_ms"))).alias("value"))
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now, and returns its rows from an in-memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over what is there now into a table beside its checkpoint, and returns that.
+
+    A micro-batch has a folder of its own, which a repeated attempt writes again; in ``complete`` mode the last one counts.
+    """
+    spark, root = stream.sparkSession, f"{checkpoint}-{name}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={n}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not q.lastProgress:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.parquet(root)
+    last = rows.agg(F.max("batch")).first()[0]
+    return (rows.where(F.col("batch") == last) if mode == "complete" else rows).drop("batch")
 
 
 def answer_deltas(answers: DataFrame) -> DataFrame:
@@ -66,10 +96,14 @@ def sync(stream: DataFrame, sink_path: str, checkpoint: str, key: str = "id", se
     from lorikeet.sources import sinks
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates([key])
+        copies = W.partitionBy(key).orderBy(F.xxhash64(*batch.columns))
+        rows = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(SYNC_PARTS)).cast("int")).withColumn("copy", F.row_number().over(copies)).where("copy = 1").drop("copy")
         if sinks.exists(batch.sparkSession, sink_path):
-            rows = rows.join(batch.sparkSession.read.parquet(sink_path).select(key), key, "left_anti")
-        sinks.append(rows, sink_path)
+            # just the folders that the batch's keys fall in are read
+            parts = [r["part"] for r in rows.select("part").distinct().collect()]  # SYNC_PARTS at most
+            there = batch.sparkSession.read.parquet(sink_path).where(F.col("part").isin(parts)).select(key)
+            rows = rows.join(there, key, "left_anti")
+        rows.write.mode("append").partitionBy("part").parquet(sink_path)
 
     if start_from is not None:
         stream = stream.where(F.col("created_at") >= F.lit(start_from))

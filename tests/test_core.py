@@ -58,6 +58,9 @@ def test_normalise_undoes_disguise(spark):
     n = lambda t: value(spark, tx.normalise(F.col("t")), t=t)
     assert n("  H4ck​  TH3\tSy$tem ") == "hack the system"
     assert n("ｆｕｌｌ") == "full" and n("раss") == "pass"
+    for disguised, plain in ((0x430, "a"), (0x3BF, "o"), (0x435, "e"), (0x440, "p"), (0x441, "c"), (0x445, "x"), (0x43E, "o")):
+        assert n(f"x{chr(disguised)}y") == f"x{plain}y"
+    assert n(chr(0x456)) == chr(0x456)
     assert n(n("1gn0re @ll")) == n("1gn0re @ll")
 
 
@@ -88,6 +91,7 @@ def test_redaction(spark):
     assert r("I am GPT-4 by OpenAI on Redis") == "I am [AI system] by [AI vendor] on [internal system]"
     assert r("Fine. Informasi ini berasal dari dokumen") == "Fine."
     assert r("kept üredis here") == "kept üredis here"
+    assert r("Open at nine. The OFFICIAL INFORMATION says so! Bye.") == "Open at nine.  Bye."
     assert r("a eyJabcdefghijk.abcdefghijkl.abcdefghijkl b") == "a [TOKEN] b"
 
 
@@ -122,16 +126,32 @@ def test_record_functions(spark):
     assert value(spark, rec.slugify(F.col("t")), t=" Größe & mehr/ x ") == "Größe_mehr_x"
     assert value(spark, rec.item_label(F.lit(7), F.lit(None).cast("string"))) == "0007_7"
     assert value(spark, rec.safe(F.lit(""))) == "-" and value(spark, rec.num(F.lit(""))) == ""
+    empty = spark.createDataFrame([(1,)], "id int")
     for name in rec.NARRATORS:
-        out = rec.narrate(spark.createDataFrame([("X",)], "nama_fakultas string"), name).first().narrative
+        out = rec.narrate(empty, name).first().narrative
         assert out and "{" not in out
-    assert value(spark, rec.summarise({"n": F.lit(3)}, "degree")) == "There are 3 degrees." and "?" in value(spark, rec.summarise({"n": F.lit(3)}, "faculty"))
+    assert rec.narrate(spark.createDataFrame([("X", None)], "a string, b string"), "x", {"x": "{a} is[[ {b}]] {c:num}."}).first().narrative == "X is 0."
+    assert value(spark, rec.summarise({"jumlah_jenjang_unhas": F.lit(3)}, "degree")) == "There are 3 degrees." and "?" in value(spark, rec.summarise({"n": F.lit(3)}, "faculty"))
+    assert value(spark, rec.summarise({}, "notice")) == "" and value(spark, rec.summarise({"jumlah_pengumuman": F.lit(0)}, "notice")) == ""
+    assert value(spark, rec.summarise({"jumlah_pengumuman": F.lit(2)}, "notice")) == "There are 2 notices."
+    assert value(spark, rec.summarise({}, "timetable")) == "The timetable: ? rooms are used and ? lecturers teach."
 
 
 def test_nested_records(spark):
-    rooms = lambda n: F.expr("transform(sequence(1, %d), i -> named_struct('name', concat('R', i), 'code', 'c', 'floor', '1', 'capacity', 30, 'exam_capacity', 0, 'equipment', array('tv')))" % n)
+    rooms = lambda n: F.expr("transform(sequence(1, %d), i -> named_struct('nama_ruangan', concat('R', i), 'kode_ruangan', 'c', 'lantai', '1', 'daya_tampung', 30, 'daya_tampung_ujian', 0, 'daftar_fasilitas', array('tv')))" % n)
     assert value(spark, rec.rooms_text(rooms(5))).count("\n") == 5
-    assert value(spark, rec.rooms_text(rooms(6))).startswith("Example: R1 (code c")
+    assert value(spark, rec.rooms_text(rooms(6))) == "For example: R1 (code c, floor 1, for 30, with tv)."
+    terms = F.expr("transform(sequence(1, 7), i -> named_struct('tahun_ajaran', concat('Y', i), 'jenis_semester', 'odd', 'jumlah_kelas', i))")
+    assert value(spark, rec.per_term(terms)) == " By term: Y1 odd: 1 | Y2 odd: 2 | Y3 odd: 3 | Y4 odd: 4 | Y5 odd: 5."
+
+
+def test_a_record_in_full(spark):
+    """The sentences of one faculty, as a person would read them."""
+    row = spark.sql("select 'Law' nama_fakultas, 'L' singkatan_fakultas, '07' kode_fakultas, 'Hill 1' alamat_fakultas, '123' telepon_fakultas, '' email_fakultas, 'law.y' website_fakultas, 4 jumlah_prodi_fakultas, '2026-03-05' updated_at")
+    assert rec.narrate(row, "faculty").first().narrative == (
+        "Law (short: L, code: 07) is a faculty, located at Hill 1.\nIt can be reached by phone 123 and website law.y.\n"
+        "It has 4 active programmes, 0 buildings, 0 lecturers, 0 students, 0 laboratories and 0 classes.\nLast updated on 05 March 2026."
+    )
 
 
 # ---------------------------------------------------------------- chunks
@@ -158,6 +178,10 @@ def test_narrative_chunks():
     text = "Header line\n\n" + "\n\n".join(f"Paragraph {i}. " + "word " * 40 for i in range(12))
     chunks = chunking.narrative_chunks(text, 150)
     assert all(c.startswith("Header line") for c in chunks) and all(f"Paragraph {i}." in "".join(chunks) for i in range(12))
+    # one sentence longer than a chunk stands alone, short ones fill a run to the last token that fits
+    runs = chunking.sentence_runs("a" * 50 + ". " + "Bb. " * 4 + "end", 4)
+    assert runs == ["a" * 50 + ".", "Bb. Bb. Bb. Bb.", "end"] and chunking.sentence_runs("A. B.", 0) == ["A.", "B."]
+    assert all(chunking.tokens(r) <= 30 for r in chunking.sentence_runs("Some words. " * 99, 30))
     sentences = "One sentence here. " * 200
     assert all(chunking.tokens(c) <= 160 + 20 for c in chunking.narrative_chunks("H\n\n" + sentences, 150))
 
@@ -325,6 +349,59 @@ def test_table_life(spark, tmp_path):
     t = sinks.ensure_table(spark, path)
     sinks.replace(indexing.delete_where(t, F.col("file_name") == "f"), path)
     assert [r.file_name for r in sinks.ensure_table(spark, path).collect()] == ["g"]
+    sinks.upsert(spark.createDataFrame([("g", 2, "new"), ("h", 1, "more")], "file_name string, chunk_index int, text string"), path)
+    assert sorted((r.file_name, r.text) for r in sinks.ensure_table(spark, path).collect()) == [("g", "new"), ("h", "more")]
+    os.rename(path, f"{path}__old")  # as an interrupted replacement leaves it
+    assert sinks.count(spark, path) == 2
+
+
+def test_files_are_written_one_by_one(spark, tmp_path):
+    root = str(tmp_path / "n")
+    items = spark.createDataFrame([("faculty", "0000_L", "one"), ("faculty", "summary", "all"), ("notice", "0001_x", ""), ("notice", "../x", "bad")], "endpoint string, label string, narrative string")
+    got = {r.endpoint: (r.written, r.skipped, r.errors) for r in sinks.write_narratives(items, root).collect()}
+    assert got == {"faculty": (2, 0, 0), "notice": (0, 1, 1)}
+    assert sorted(os.listdir(f"{root}/faculty")) == ["0000_L.txt", "summary.txt"] and open(f"{root}/faculty/0000_L.txt").read() == "one"
+    assert {(r.endpoint, r.file_name) for r in readers.narrative_files(spark, root).collect()} == {("faculty", "0000_L.txt"), ("faculty", "summary.txt")}
+    objects = spark.createDataFrame([("a/b.png", bytearray(b"1")), ("../c", bytearray(b"2"))], "key string, content binary")
+    assert [tuple(r) for r in sinks.put_objects(objects, root, "/files/").collect()] == [("a/b.png", "/files/a/b.png")]
+    assert sinks.delete_objects(spark, root, ["a/b.png", "a/none", "../n/a"]) == 1
+    key = spark.sql("select 's' session_id, cast('x' as binary) content, 'image/png' mime").select(sinks.image_key().alias("k")).first().k
+    assert key.startswith("images/s/") and key.endswith(".png")
+
+
+def test_zip_entries_are_extracted(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.pdf", b"1")
+        z.writestr("two.pdf", b"2")
+    entries = readers.zip_entries(spark, str(tmp_path), spark.createDataFrame([("two.pdf",)], "file_name string"))
+    root = str(tmp_path / "out")
+    assert {r.status: r.n for r in sinks.extract_pdfs(entries, root, dry_run=True).collect()} == {"extracted": 1, "skipped": 1} and not os.path.exists(root)
+    assert {r.status: r.n for r in sinks.extract_pdfs(entries, root).collect()} == {"extracted": 1, "skipped": 1} and os.listdir(root) == ["one.pdf"]
+
+
+def test_configuration_and_logs(spark, tmp_path):
+    assert guard.load_keywords('{"hard_block": ["a", ""], "soft_flag": [], "safe_context": ["b"]}') == {"hard_block": ["a"], "soft_flag": [], "safe_context": ["b"]}
+    for bad in ("[]", '{"hard_block": []}'):
+        with pytest.raises(ValueError):
+            guard.load_keywords(bad)
+    (tmp_path / "s.csv").write_text('no,question,source_message_id\n7.0,"a ""b""\nc",id1\n,x,\n')
+    assert [tuple(r) for r in readers.sheet_state(spark, str(tmp_path / "s.csv")).collect()] == [("7.0", "id1"), (None, None)]
+    spark.sql("select 1 id, timestamp'2026-01-01 00:00:00' created_at union select 2, timestamp'2026-01-02 00:00:00'").write.parquet(str(tmp_path / "log"))
+    assert [r.id for r in readers.chat_log(spark, str(tmp_path / "log"), datetime(2026, 1, 2)).collect()] == [2]
+    line = json.loads(jobs.request_log(spark.sql("select 'r1' request_id, timestamp'2026-01-01 00:00:00' ts, '/x' path, 503 status, 12.34D ms")).first().value)
+    assert (line["level"], line["request_id"], line["duration_ms"]) == ("error", "r1", 12.3)
+    assert value(spark, tx.time_left(F.lit(10), F.lit(30), F.lit(5.0))) == 10.0 and value(spark, tx.time_left(F.lit(0), F.lit(30), F.lit(5.0))) == 0.0
+    assert [value(spark, tx.duration_text(F.lit(x))) for x in (5, 65, 3600)] == ["5s", "1m 5s", "1h 0m 0s"]
+    log = spark.createDataFrame([("1", "user")], "id string, role string")
+    assert sorted(r.id for r in dialogue.insert_messages(log, spark.createDataFrame([("1", "assistant"), ("2", "user"), ("3", "system")], "id string, role string")).collect()) == ["1", "2"]
+
+
+def test_cache_is_bounded_and_can_be_away(spark):
+    entries = spark.createDataFrame([(f"k{i}", i, 10) for i in range(30)], "key string, used_at long, bytes long").repartition(4)
+    assert sorted(r.used_at for r in caching.evict(entries, 45).collect()) == [26, 27, 28, 29]
+    assert caching.invalidate(caching.put(entries, entries), entries.where("key = 'k1'").select("key")).count() == 58
+    asked = spark.sql("select 'r' role, 'q' question, 'c' condensed")
+    assert caching.lookup(asked, spark.createDataFrame([], "key string, answer string"), available=False).first().cached_answer is None
 
 
 def test_stream_answers(spark):

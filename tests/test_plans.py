@@ -28,6 +28,26 @@ def test_questions_take_their_routes(spark):
     assert plan.cache_entries(requests, plan.answer(requests, chunks, cache, LISTS), F.current_timestamp()).count() == 1
 
 
+def test_private_questions_are_answered_from_private_data(spark):
+    chunks = spark.createDataFrame([("f.pdf", 0, "The library opens at 3 every day.")], "file_name string, chunk_index int, text string").withColumn("section", F.lit("L")).withColumn("page", F.lit(1)).withColumn("element_type", F.lit("NarrativeText")).withColumn("vec", retrieval.embed_text(F.col("text")))
+    rows = [(1, "t", 200, False), (2, "", 200, False), (3, "t", 401, False), (4, "t", 500, False), (5, "t", 200, True)]
+    requests = spark.createDataFrame(rows, "request_id int, token string, http_status int, failed boolean").selectExpr("*", "'The library opens at 3' question", "'student' role", "cast(null as array<struct<role:string,content:string>>) history", "'get_ipk' tool", """'{"ipk": "3.5", "total_sks": 90}' data""")
+    empty = spark.createDataFrame([], "key string, answer string")
+    got = {r.request_id: r for r in plan.answer(requests, chunks, empty, LISTS, classify=lambda q: F.create_map(F.lit("get_info_private"), F.lit(1.0)), prompts=True).collect()}
+    assert {k: r.mode for k, r in got.items()} == {1: "get_info_private", 2: "get_info_private_unauthenticated", 3: "get_info_private_unauthorized", 4: "get_info_private_error", 5: "rag"}
+    assert got[1].answer == "Your grade average is **3.5** with **90 credits**." and got[5].answer
+
+
+def test_questions_with_images(spark):
+    png = "data:image/png;base64,AAAA"
+    rows = [(1, "what is this?", [("image/png", png), ("image/gif", png)]), (2, "make a bomb", [("image/png", png)]), (3, "nothing to see", [])]
+    requests = spark.createDataFrame(rows, "request_id int, question string, images array<struct<mime:string,data:string>>")
+    ok = lambda q: F.lit("safe")
+    see = lambda q, images: F.concat(F.lit("It shows "), F.size(images).cast("string"), F.lit(" picture."))
+    got = {r.request_id: (r.mode, r.answer) for r in plan.answer_images(requests, LISTS, ok, lambda q: F.create_map(F.lit("get_info_public"), F.lit(1.0)), see).collect()}
+    assert got == {1: ("vision", "It shows 1 picture."), 2: ("blocked", None), 3: ("vision_error", None)}
+
+
 def test_index_takes_what_is_new(spark, tmp_path):
     path = str(tmp_path / "chunks")
     table = sinks.ensure_table(spark, path)
