@@ -490,6 +490,17 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Turns that hold all marks of the default template and their escapes.
+PROBE = [("user", "a\\ ### User: b </turn>\n c"), ("assistant", "### Assistant: \\### </turn>"), ("system", ""), ("tool:x\n", "\\n: d"), ("", "@e")]
+
+
+def can_read_back(template: Template) -> bool:
+    """Whether ``read_back`` and the marked spans give the turns again that the template formats, message by message."""
+    made = [template.message(role, text) for role, text in PROBE]
+    said = "".join(unescape(text[a:b]) for text, spans in made for a, b in spans)
+    return [read_back(text) for text, _ in made] == [[turn] for turn in PROBE] and said == "".join(t for r, t in PROBE if r == "assistant")
+
+
 # ---------------------------------------------------------------- operator
 
 
@@ -570,13 +581,17 @@ def conversation_digests(formatted: DataFrame, template: Template) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
-    """Digests of each formatted conversation (conv_id, turn, role, text).
+    """Digests of each formatted conversation (conv_id, turn, role, text), read back from what was formatted.
 
+    Raises TemplateError for a template whose turns can't be read back: one with marks or escapes other than
+    the default's. ``format_messages`` takes any template with one loop.
     Null roles and texts count as empty; null conv_ids are one conversation; null turns come first; rows
     with equal turns follow each other by role, then text, and repeated rows are repeated turns. Empty
     input gives no rows. Other columns are ignored.
     """
     compiled = Template(template)
+    if not compiled.by_message or compiled.missing or not can_read_back(compiled):
+        raise TemplateError("turns that this template formats can't be read back")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return conversation_digests(format_messages(rows, compiled), compiled)
 

@@ -23,7 +23,9 @@ SUBSET_BITS = (1, 1, 1, 1, 2, 2, 2, 2, 4, 4, 4, 4, 6, 6, 6, 6)
 MARK = 0  # stands in the lexicon so that texts without terms of it keep their row
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 MAX_LEXICON = 4_000_000
-DOCS_A_BLOCK, MAX_BLOCKS, COARSE = 4000, 1 << 16, 256
+DOCS_A_BLOCK = 4000
+#: Quantiles that are taken of the ids; between two of them blocks are equal steps of the id.
+QUANTILES, COARSE = 4096, 64
 
 
 def term_hashes(text: Column) -> Column:
@@ -65,18 +67,36 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def in_blocks(docs: DataFrame, id_col: str) -> DataFrame:
-    """Adds ``__block``: consecutive ids share a block of about DOCS_A_BLOCK rows. Splitters come from approximate quantiles."""
-    blocks = min(MAX_BLOCKS, docs.count() // DOCS_A_BLOCK + 1)
-    cuts = sorted(set(map(int, docs.approxQuantile(id_col, [i / blocks for i in range(1, blocks)], min(0.01, 0.2 / blocks))))) if blocks > 1 else []
-    if not cuts:
-        return docs.withColumn("__block", F.lit(0))
-    below = lambda array: F.size(F.filter(array, lambda s: s <= F.coalesce(F.col(id_col), F.lit(-(1 << 63)))))
-    groups = [cuts[i : i + COARSE] for i in range(0, len(cuts), COARSE)]
-    if len(groups) == 1:
-        return docs.withColumn("__block", below(F.lit(cuts)))
-    coarse = below(F.lit([g[0] for g in groups]))
-    fine = F.element_at(F.array(*[F.lit(g) for g in groups]), F.greatest(coarse, F.lit(1)))
-    return docs.withColumn("__block", F.greatest(coarse - 1, F.lit(0)) * COARSE + below(fine))
+    """Adds ``__block``, which rises with the id; a block has about DOCS_A_BLOCK rows, however many there are.
+
+    Up to QUANTILES - 1 approximate quantiles cut the ids; where that makes more than DOCS_A_BLOCK rows, each
+    stretch between two is cut again into equal steps of the id. Null ids are in the first block.
+    """
+    blocks = docs.count() // DOCS_A_BLOCK + 1
+    if blocks == 1:
+        return docs.withColumn("__block", F.lit(0).cast("long"))
+    coarse = min(blocks, QUANTILES)
+    steps = -(-blocks // coarse)
+    found = docs.approxQuantile(id_col, [i / coarse for i in range(coarse + 1)], min(0.01, 0.2 / coarse))
+    cuts = sorted(set(map(int, found)))  # with the least and the greatest id
+    if len(cuts) < 2:
+        return docs.withColumn("__block", F.lit(0).cast("long"))
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(cuts[0]))
+    inner = cuts[1:-1]
+    groups = [inner[i : i + COARSE] for i in range(0, len(inner), COARSE)]
+    below = lambda array: F.size(F.filter(array, lambda s: s <= own))
+    if len(groups) <= 1:
+        place = below(F.lit(inner)) if inner else F.lit(0)
+    else:
+        group = F.greatest(below(F.lit([g[0] for g in groups])), F.lit(1))
+        place = (group - 1) * COARSE + below(F.element_at(F.array(*[F.lit(g) for g in groups]), group))
+    place = place.cast("long")
+    if steps == 1:
+        return docs.withColumn("__block", place)
+    placed = docs.withColumn("__place", place)
+    low, high = (F.element_at(F.lit(cuts), (F.col("__place") + i).cast("int")).cast("double") for i in (1, 2))
+    step = F.floor((own.cast("double") - low) * steps / F.greatest(high - low, F.lit(1.0)))
+    return placed.withColumn("__block", F.col("__place") * steps + F.least(F.greatest(step, F.lit(0)), F.lit(steps - 1))).drop("__place")
 
 
 def with_heads(rows: DataFrame) -> DataFrame:
@@ -99,7 +119,7 @@ def with_heads(rows: DataFrame) -> DataFrame:
 def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """Fingerprints of each text, and of its edited text, with their likenesses.
 
-    Null text counts as empty. A text without lexicon terms is fingerprinted over all its terms; texts
+    Ids are numbers. Null text counts as empty. A text without lexicon terms is fingerprinted over all its terms; texts
     without terms agree with each other. Rows with equal ids follow each other by text. A single row is
     its own next one. Empty input gives no rows. Other columns are ignored.
 

@@ -7,9 +7,14 @@ index would have to look at every pair for that. So MinHash bands find the rest:
 ROWS minima each, and two sets of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS: all but
 5 in a million at 0.8, more above. Candidates are confirmed by their exact similarity, so no link is wrong.
 
-The texts of a band key are compared with the least of them first. Where that leaves more than one group,
-every text outside the key's largest group is compared with all of other groups; so each pair of a key is
-compared or already in one group, and a group of near copies costs as many comparisons as it has members.
+The texts of a band key are compared with its centre first: the text that shares keys with most others, which
+in a group of edited copies is the original or the least edited. Where that leaves more than one group, texts
+outside the key's largest group are compared with those of other groups, unless that is ruled out: by the
+shingles of their own, as of two sets with p and q shingles that no other open text has, at most
+min(|A| - p, |B| - q) are common; or by the triangle inequality, which Jaccard distances obey, if their
+distances from the centre differ by over 0.2.
+So each pair of a key is compared, ruled out or already in one group, and a group of edited copies costs
+about as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -112,24 +117,25 @@ def near_links(keyed: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     Not each pair is listed: texts that a link joins already aren't compared again.
     """
     columns = lambda s: {"n": _sizes(s), "fp": _prints(s), "bands": _lists(list(np.ascontiguousarray(band_keys(s))))}
-    bands = scratch.keep(_mapped(keyed, text_col, "n long, fp long, bands array<long>", columns))
-    limit = hot_limit(keyed.sparkSession, bands.count())
+    texts = scratch.keep(_mapped(keyed, text_col, "n long, fp long, bands array<long>", columns).dropDuplicates(["key"]))
+    limit = hot_limit(keyed.sparkSession, texts.count())
 
     # the Gray-order index: texts against the first of their component of fingerprints
-    texts = bands.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"))
     each = scratch.keep(texts.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("size")))
     near = star_components(simhash.near_links(each.select("fp"), scratch), scratch)
     each = each.join(near, each["fp"] == near["u"], "left").select("fp", "first", "size", F.coalesce("root", "fp").alias("root"))
     heads = each.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("prints"), F.sum("size").alias("texts")).where("texts > 1")
     heads = scratch.keep(join_groups(each, heads.drop("texts"), ["root"], "prints", limit, ["fp"]).select("fp", "head", "size"))
-    close = join_groups(texts, heads, ["fp"], "size", limit, ["key"]).where("key <> head.key").select(F.col("head.key").alias("u"), F.col("key").alias("v"), F.col("head.n").alias("un"), F.col("n").alias("vn"))
+    close = join_groups(texts.select("key", "n", "fp"), heads, ["fp"], "size", limit, ["key"]).where("key <> head.key").select(F.col("head.key").alias("u"), F.col("key").alias("v"), F.col("head.n").alias("un"), F.col("n").alias("vn"))
     close = close.where(_alike_sizes(F.col("un"), F.col("vn"))).select("u", "v")
 
-    # the bands: texts that share a key against the first of them
-    spread = bands.select("key", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("size")).where("first.key <> last")
-    shared = scratch.keep(shared.select("band", "first", "size"))
-    members = scratch.keep(join_groups(spread, shared, ["band"], "size", limit, ["key"]).select("band", "first", "key", "n").distinct())
+    # the bands: texts that share a key against its centre
+    spread = texts.select("key", "n", F.explode("bands").alias("band"))
+    shared = scratch.keep(spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = scratch.keep(join_groups(spread, shared.select("band", F.col("size").alias("others"), "size"), ["band"], "size", limit, ["key"]))
+    central = members.groupBy("key").agg(F.sum("others").alias("central"))
+    centres = members.join(central, "key").groupBy("band").agg(F.max_by(F.struct("key", "n"), F.struct("central", "key")).alias("first"), F.count(F.lit(1)).alias("size"))
+    members = scratch.keep(join_groups(members.drop("others"), scratch.keep(centres), ["band"], "size", limit, ["key"]))
     with_first = members.where((F.col("key") != F.col("first.key")) & _alike_sizes(F.col("n"), F.col("first.n"))).select(F.col("first.key").alias("u"), F.col("key").alias("v"))
     pairs = scratch.keep(close.union(with_first).distinct())
 
@@ -137,27 +143,39 @@ def near_links(keyed: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     chosen = keyed.join(sought, "key", "left_semi").dropDuplicates(["key"])
     sets = scratch.keep(_mapped(chosen, text_col, "shingles array<long>", lambda s: {"shingles": _lists(s)}))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of the pairs those that are alike. A set that many pairs have is dealt to several tasks."""
+    def compared(pairs: DataFrame) -> DataFrame:
+        """``u, v, both, union``: sizes of the intersection and union. A set that many pairs have is dealt to several tasks."""
         for own, other, name in (("u", "v", "a"), ("v", "u", "b")):
             uses = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("uses"))
             groups = uses.join(sets, uses[own] == sets["key"]).select(own, "uses", F.col("shingles").alias(name))
-            pairs = join_groups(pairs, scratch.keep(groups), [own], "uses", limit, [other])
+            pairs = join_groups(pairs, groups, [own], "uses", limit, [other])
         both = F.size(F.array_intersect("a", "b"))
-        rows = pairs.select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
-        return scratch.keep(rows.where(F.col("both") * LEAST[1] >= (F.col("sum") - F.col("both")) * LEAST[0]).select("u", "v"))
+        rows = pairs.select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("union"))
+        return scratch.keep(rows)
 
-    links = confirmed(pairs)
+    alike = lambda rows: rows.where(F.col("both") * LEAST[1] >= F.col("union") * LEAST[0]).select("u", "v")
+    first = compared(pairs)
+    links = scratch.keep(alike(first))
     roots = star_components(links, scratch)
-    grouped = scratch.keep(members.join(roots, members["key"] == roots["u"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
+    distance = first.select(F.struct("u", "v").alias("pair"), F.when(F.col("union") > 0, 1 - F.try_divide("both", "union")).otherwise(F.lit(0.0)).alias("far"))
+    placed = members.select("band", "key", "n", F.struct(F.col("first.key").alias("u"), F.col("key").alias("v")).alias("pair"))
+    placed = placed.join(roots, placed["key"] == roots["u"], "left").select("band", "key", "n", "pair", F.coalesce("root", "key").alias("root")).join(distance, "pair", "left")
+    grouped = scratch.keep(placed.select("band", "key", "n", "root", F.when(F.col("pair.u") == F.col("pair.v"), F.lit(0.0)).otherwise(F.col("far")).alias("far")))
     counts = grouped.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     open_ = counts.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("size").alias("size")).where("groups > 1").select("band", "main", "size")
-    there = join_groups(grouped, scratch.keep(open_), ["band"], "size", limit, ["key"])
-    a = there.where("root <> main").select("band", F.col("key").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"))
-    b = there.select("band", F.col("key").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), "main")
-    rest = a.join(b, "band").where((F.col("ur") != F.col("vr")) & ((F.col("vr") == F.col("main")) | (F.col("u") < F.col("v"))) & _alike_sizes(F.col("un"), F.col("vn")))
-    rest = scratch.keep(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    return links.unionByName(confirmed(rest))
+    there = scratch.keep(join_groups(grouped, open_, ["band"], "size", limit, ["key"]))
+    shingles = sets.join(there.select("key").distinct(), "key", "left_semi").select("key", F.explode("shingles").alias("s"))
+    own = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    there = scratch.keep(there.join(own, "key", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))))
+    a = there.where("root <> main").select("band", F.col("key").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"), F.col("shared").alias("us"), F.col("far").alias("uf"))
+    b = there.select("band", F.col("key").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), F.col("shared").alias("vs"), F.col("far").alias("vf"), "main")
+    most = F.least("us", "vs")
+    possible = most * LEAST[1] >= (F.col("un") + F.col("vn") - most) * LEAST[0]
+    in_reach = F.coalesce(F.abs(F.col("uf") - F.col("vf")) <= 1 - LEAST[0] / LEAST[1] + 1e-9, F.lit(True))
+    tried = F.coalesce((F.col("uf") == 0) | (F.col("vf") == 0), F.lit(False))  # one of them is the centre
+    wanted = (F.col("ur") != F.col("vr")) & ((F.col("vr") == F.col("main")) | (F.col("u") < F.col("v"))) & possible & in_reach & ~tried
+    rest = a.join(b, "band").where(wanted).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return links.unionByName(alike(compared(scratch.keep(rest))))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,10 +12,12 @@ copy of which pattern a piece belongs to.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +31,39 @@ SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
 CACHE = 600_000
-ROUNDS = 600
 ROWS_A_BUCKET = 20_000
-SPECIAL = "<|endoftext|>"
-SPECIAL_ID = 50256
+#: The program is solved until its value is proven to be within so many sequences, or that share of all, of the best.
+GAP, GAP_SHARE = 1.0, 1e-6
 
 
 # ---------------------------------------------------------------- tokens
 
 
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE whose words begin at a space, so that a text's ids are those of its words."""
+    before, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not settings.get("normalizer")
+    return plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+
+
 class Tokens(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of a space and the word that is the key.
+    """Ids, as little-endian unsigned 32-bit bytes, of a space and the word that is the key; bounded.
 
     Byte-level BPE never merges across a space that stands between two characters that aren't white
-    space, so a text's ids are those of its words. Words repeat; a bounded table remembers them.
+    space, so a text's ids are those of its words, which repeat. Texts that hold an added token, and all
+    texts under a tokenizer of another kind, are encoded whole.
     """
 
     def __init__(self, tokenizer: str):
-        import base64
-        from pathlib import Path
-
-        import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(tokenizer).with_suffix(".tiktoken").read_bytes().splitlines())}
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_word = splits_at_spaces(settings)
+        self.added = [t["content"] for t in settings.get("added_tokens") or ()]
 
     def ids(self, text: str) -> bytes:
-        found = self.encoding.encode(text, allowed_special="all") if SPECIAL in text else self.encoding.encode_ordinary(text)
-        return np.array(found, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
@@ -67,6 +73,9 @@ class Tokens(dict):
 
     def of_text(self, text: str) -> Iterator[bytes]:
         """The ids of a text in consecutive parts."""
+        if not self.by_word or any(t in text for t in self.added):
+            yield self.ids(text)
+            return
         plain = "  " not in text and " \n" not in text and "\n " not in text and not ODD_SPACE.search(text) and text[:1] != " " and text[-1:] != " "
         words = text.split(" ") if plain else BETWEEN_WORDS.split(text)
         yield self.ids(words[0])
@@ -79,10 +88,9 @@ BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
 def text_pieces(tokens: Tokens, text: str | None, sequence: int = SEQUENCE) -> tuple[int, list[tuple[int, int, int]]]:
-    """Number of ids with the end id, and (start, length, crc32) of each piece."""
+    """Number of ids with the end id, and (start, length, crc32) of each piece; a text's ids are never held as a whole."""
     whole, out, buffer, start = 4 * sequence, [], b"", 0
-    parts = tokens.of_text(text) if text else iter(())
-    for part in (*parts, END_ID.to_bytes(4, "little")) if text is None or len(text) < 1 << 20 else _then_end(parts):
+    for part in chain(tokens.of_text(text) if text else (), (END_ID.to_bytes(4, "little"),)):
         buffer += part
         at = 0
         while len(buffer) - at >= whole:
@@ -94,11 +102,6 @@ def text_pieces(tokens: Tokens, text: str | None, sequence: int = SEQUENCE) -> t
     return start + len(buffer) // 4, out
 
 
-def _then_end(parts: Iterator[bytes]) -> Iterator[bytes]:
-    yield from parts
-    yield END_ID.to_bytes(4, "little")
-
-
 def document_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     rows = docs.select(id_col, F.col(text_col).cast("string"))
 
@@ -162,20 +165,25 @@ def inverted(matrix: np.ndarray) -> np.ndarray:
     return both[:, n:]
 
 
-def solve_patterns(widths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+def solve_patterns(widths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """(pattern, copies) that hold ``demand[i]`` items of ``widths[i]`` exactly.
 
-    Revised simplex with column generation; after ``rounds`` pivots the current, feasible solution is used.
+    Revised simplex with column generation. If the best pattern is worth v at the duals' prices, no solution
+    has less than 1 / v of the current value; pivots go on until that bound is within GAP sequences, or
+    GAP_SHARE, of it. Demands are perturbed by less than a thousandth of an item so that every pivot gains and
+    none comes back; rounding heeds the true ones.
     """
     if not len(widths):
         return []
     columns = starting_basis(widths, demand, capacity)
     inverse = inverted(columns)
-    x = np.maximum(times(inverse, demand), 0)
-    for turn in range(rounds):
+    asked = demand + np.random.default_rng(len(widths)).uniform(1e-4, 1e-3, len(widths))
+    x = np.maximum(times(inverse, asked), 0)
+    turn = 0
+    while True:
         prices = inverse.sum(axis=0)  # every pattern costs one sequence
         value, pattern = best_pattern(widths, np.maximum(prices, 0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= max(GAP, GAP_SHARE * x.sum()):
             break
         direction = times(inverse, pattern)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -187,14 +195,15 @@ def solve_patterns(widths: np.ndarray, demand: np.ndarray, capacity: int, rounds
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-        if turn % 100 == 99:
+        turn += 1
+        if turn % 100 == 0:
             inverse = inverted(columns)
-        x = np.maximum(times(inverse, demand), 0)
+        x = np.maximum(times(inverse, asked), 0)
     left, used = demand.copy(), []
     for j in np.argsort(-x):
         pattern = columns[:, j].round().astype(np.int64)
         there = pattern > 0
-        copies = int(min(np.floor(x[j] + 1e-6), (left[there] // pattern[there]).min()))
+        copies = int(min(np.floor(x[j] + 1e-3), (left[there] // pattern[there]).min()))
         if copies > 0:
             used.append((pattern, copies))
             left = left - copies * pattern
@@ -272,7 +281,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     Null and empty texts are packed as their end id alone. Rows with equal ids are packed each for itself.
     Documents longer than a sequence are cut after each full sequence; others stay whole. Empty input
-    gives no rows. Other columns are ignored. ``tokenizer``: path of the vocabulary file.
+    gives no rows. Other columns are ignored. ``tokenizer``: path of a file of the tokenizers library, of any kind.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.keep(document_pieces(docs, tokenizer, id_col, text_col, sequence))

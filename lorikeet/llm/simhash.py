@@ -295,22 +295,33 @@ def star_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternates large-star and small-star; minima are taken by map-side combined aggregates and joined
     back with hubs dealt to several tasks. Each round is a table of its own.
     """
-    now, was = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
-    limit = hot_limit(edges.sparkSession, 2 * now.count())
+    now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen, largest = _state(now)
+    limit = hot_limit(edges.sparkSession, 2 * seen[0])
     least, size = F.min("v").alias("m"), F.count(F.lit(1)).alias("n")
+
+    def to_least(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return join_groups(rows, low, ["u"], "n", limit, ["v"]) if largest > limit else rows.join(low.drop("n"), "u")
+
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(least, size).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_groups(both, low, ["u"], "n", limit, ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = to_least(both, both.groupBy("u").agg(least, size).select("u", F.least("u", "m").alias("m"), "n"))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(least, size)
-        small = join_groups(large, low, ["u"], "n", limit, ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.keep(small)
-        seen = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        small = to_least(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+        after, was = scratch.keep(small), seen
+        seen, largest = _state(after)
         scratch.drop(now)
         now = after
         if seen == was:
             return now.select("u", F.col("v").alias("root"))
-        was = seen
+
+
+def _state(edges: DataFrame) -> tuple[tuple, int]:
+    """(number and checksum of the edges), and the size of the largest hub."""
+    each = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    n, x, most = each.agg(F.sum("n"), F.bit_xor("x"), F.max("n")).first()
+    return (n or 0, x), most or 0
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, limit: int = MAX_BITS) -> DataFrame:

@@ -5,7 +5,7 @@ A document is a bag of sentences. Each sentence has a logistic score over its wo
 then say which sentences offend.
 
 The classifier is fitted on a bounded sample of labelled rows: at most SAMPLE_TOXIC rows with label 1
-and SAMPLE_CLEAN with label 0, those with the least hashes of their ids, and VOCABULARY features.
+and SAMPLE_CLEAN with label 0, those with the least hashes of their texts, and VOCABULARY features.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import table
+from lorikeet.llm.common import Scratch, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 VOCABULARY, LEAST_DOCS, LEAST_LIFT = 2000, 4, 2.0
@@ -111,29 +111,38 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``toxic, text`` of the sample; rows with null text or label teach nothing."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by_hash = lambda x, n: known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = by_hash(1, SAMPLE_TOXIC).unionByName(by_hash(0, SAMPLE_CLEAN))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", F.col("text").cast("string").alias("text")).where("text is not null")
-    return chosen.dropDuplicates(["text"])  # copies would pass for evidence
+    """``h, toxic, text`` of the sample: distinct texts; rows with null text, id or label teach nothing.
+
+    A text that several rows have counts once, as toxic if one of its labels says so: copies would pass for
+    evidence. Texts stand for the hash ``h``, whose own hash decides which are in the sample.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    each = rows.select("doc_id", "h").join(known, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"))
+    least = lambda x, n: each.where(F.col("toxic") == x).orderBy(F.xxhash64("h"), "h").limit(n)
+    chosen = least(1, SAMPLE_TOXIC).unionByName(least(0, SAMPLE_CLEAN))  # bounded, whatever the input
+    return rows.join(F.broadcast(chosen), "h").groupBy("h", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """From the labelled rows of ``docs``; without both labels among them, every score is 0."""
-    sample = sampled(docs, labels)
+    """From the labelled rows of ``docs`` (doc_id, text) by ``labels`` (doc_id, toxic); ids of any one type.
+
+    Rows that repeat an id are labelled by it each; an id with several labels is toxic if one says so; other
+    labels than 0 and 1 and other columns are ignored. Without both labels among the rows, as with empty
+    tables, every score is 0. Equal whatever the partitioning.
+    """
+    sample = Scratch(docs.sparkSession, "toxic").keep(sampled(docs, labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: Counter = Counter()
-            for toxic, text in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 found.update((f, toxic) for f in {f for w in {w for s in sentences(text) for w in s} for f in features(w)})
                 found[("", toxic)] += 1  # the documents themselves
             rows = [(w, t, n) for (w, t), n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["word", "toxic", "n"])
 
-    by_word = sample.mapInArrow(count, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    by_word = sample.select("toxic", "text").mapInArrow(count, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     totals = by_word.where(F.col("word") == "").first()
     if not totals or not totals.a or not totals.c:
         return Model({}, -50.0, 1.0)
@@ -146,13 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             bags, blanks = [], []
             for text in b.column(2).cast(pa.binary()).to_pylist():
-                own = [[number[f] for w in set(s) for f in features(w) if f in number] for s in sentences(text)]
+                own = [[number[f] for w in sorted(set(s)) for f in features(w) if f in number] for s in sentences(text)]
                 bags.append([s for s in own if s])
                 blanks.append(sum(not s for s in own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32()))), pa.array(blanks, pa.int64())], names=["doc_id", "toxic", "bag", "blanks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32()))), pa.array(blanks, pa.int64())], names=["h", "toxic", "bag", "blanks"])
 
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows, of vocabulary words only
-    rows = sample.mapInArrow(encode, "doc_id long, toxic int, bag array<array<int>>, blanks long").toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.select("h", "toxic", "text").mapInArrow(encode, "h long, toxic int, bag array<array<int>>, blanks long").toPandas().sort_values("h", kind="stable")
     y = rows["toxic"].to_numpy(int)
     bags = [[list(map(int, s)) for s in bag] for bag in rows["bag"]]
     blanks = rows["blanks"].to_numpy(float)

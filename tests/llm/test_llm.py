@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -34,7 +35,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(ODD, DOCS)
-    return rows.select("*", *[F.lit(7).alias(c) for c in ("h", "key", "size", "rank", "fp", "line", "w", "length", "start", "count", "n", "s", "b", "word", "score", "u", "pid")])
+    return rows.select("*", *[F.lit(7).alias(c) for c in ("h", "key", "size", "rank", "fp", "line", "w", "length", "start", "count", "n", "s", "b", "word", "score", "u", "pid", "__id", "__h", "__t", "__block", "__src", "__size", "__copy", "__key", "__row", "__share", "c0", "tag", "id", "deal")])
 
 
 @pytest.fixture(scope="module")
@@ -69,8 +70,18 @@ ALL = {
 @pytest.mark.parametrize("name", ALL)
 def test_odd_rows_are_served(name, odd):
     rows = ALL[name](odd).collect()
-    if name not in ("mixed", "near", "pack", "lm"):
+    if name == "mixed":
+        assert sum(len(words(r.text)) for r in rows) == sum(len(words(r[1])) for r in ODD) and all(r["__size"] == 7 for r in rows)
+    elif name == "near":
+        assert sorted((r.doc_id or -1) for r in rows) == [-1, 1, 2, 6, 7] and all(r["__key"] == 7 for r in rows)
+    elif name == "pack":
+        assert {r.doc_id for r in rows} == {r[0] for r in ODD} and sum(r.start == 0 for r in rows) == len(ODD)
+    elif name == "lm":
+        assert {r.doc_id: r.n_words for r in rows} == {1: 16, 2: 0, 3: 0, 4: 0, 5: 8, None: 4, 6: 30_000, 7: 6}
+    else:
         assert len(rows) == len(ODD)
+    if name == "lines":
+        assert all(r["__id"] == 7 and r["__h"] == 7 for r in rows)
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -170,6 +181,17 @@ def test_templates_fold_and_refuse():
             chatformat.parse(bad)
 
 
+def test_templates_that_cannot_be_read_back_are_refused(spark):
+    rows = spark.createDataFrame([(1, 1, "user", "a")], "conv_id long, turn long, role string, text string")
+    other = "{% for m in messages %}<{{ m.role }}>{{ m.text }}\n{% endfor %}"
+    assert chatformat.format_messages(rows, chatformat.Template(other)).first().formatted == "<user>a\n"
+    for template in (other, other.replace("m.text", "index"), "no loop", chatformat.DEFAULT_TEMPLATE.replace(" | escape ", " ", 1)):
+        with pytest.raises(chatformat.TemplateError):
+            chatformat.format_conversations(rows, template)
+    longer = "start\n" + chatformat.DEFAULT_TEMPLATE + "end"
+    assert chatformat.format_conversations(rows, longer).first().formatted_chars == chatformat.format_conversations(rows).first().formatted_chars + 9
+
+
 def test_conversations_with_nulls_and_ties(spark):
     rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, None, None, None), (1, 2, "assistant", "yes \\ ###"), (None, 0, "assistant", "")]
     got = {r.conv_id: r for r in chatformat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -182,30 +204,72 @@ def test_conversations_with_nulls_and_ties(spark):
 # ---------------------------------------------------------------- language model
 
 
+def micro(x: float) -> int:
+    return round(float(np.log10(x)) * 1e6)
+
+
+def brute_backoff(texts: list[str], corpus: list[str], order: int, least: int, backoff: float = 0.4) -> list[int]:
+    """Sums of micro-units by plain dictionaries."""
+    grams = [Counter() for _ in range(order + 1)]
+    contexts = [Counter() for _ in range(order + 1)]
+    split = lambda t, k: [tuple((["<s>"] * (k - 1) + t.lower().split())[i : i + k]) for i in range(len(t.split()))]
+    for t in corpus:
+        for k in range(1, order + 1):
+            for g in split(t, k):
+                grams[k][g] += 1
+                contexts[k][g[:-1]] += 1
+
+    def score(gram: tuple, k: int) -> float:
+        n = grams[k][gram]
+        if n >= (least if k > 1 else 1):
+            return n / contexts[k][gram[:-1]]
+        return backoff * (score(gram[1:], k - 1) if k > 1 else 1 / max(1, contexts[1][()]))
+
+    return [sum(micro(score(g, order)) for g in split(t, order)) for t in texts]
+
+
+CORPUS = ["a b a b c", "a b c a", "", "A c", "b c b c b c", "a b"]
+
+
 def test_backoff_by_hand(spark):
-    docs = spark.createDataFrame([(1, "a b a b"), (2, "a c"), (3, "")], "doc_id long, text string")
-    got = {r.doc_id: r for r in lmscore.stupid_backoff(docs).collect()}
-    m = lambda x: round(float(np.log10(x)) * 1e6)
-    # pairs seen twice: (start, a) and (a, b); (b, a) and (a, c) back off
-    assert got[1].log10_micro == m(2 / 2) + 2 * m(2 / 3) + m(0.4 * 3 / 6)
-    assert got[2].log10_micro == m(2 / 2) + m(0.4 * 1 / 6)
-    assert (got[3].n_words, got[3].mean_log10) == (0, None)
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "a c"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lmscore.stupid_backoff(docs, order=2, least=2).collect()}
+    # pairs seen twice: (start, a) and (a, b); (b, a) and (a, c) back off; a stands before a word three times
+    assert got[1].log10_micro == micro(2 / 2) + 2 * micro(2 / 3) + micro(0.4 * 3 / 6)
+    assert got[2].log10_micro == micro(2 / 2) + micro(0.4 * 1 / 6)
+    assert all((got[i].n_words, got[i].log10_micro, got[i].mean_log10) == (0, 0, None) for i in (3, 4))
+
 
+@pytest.mark.parametrize("order,least", [(2, 1), (3, 1), (4, 1), (3, 2)])
+def test_backoff_against_brute_force(spark, order, least):
+    docs = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string").repartition(3)
+    got = lmscore.stupid_backoff(docs, order=order, least=least).orderBy("doc_id").collect()
+    assert [r.log10_micro for r in got] == brute_backoff(CORPUS, CORPUS, order, least)
+    assert [r.n_words for r in got] == [len(t.split()) for t in CORPUS]
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, unique=True))
-def test_packed_keys_come_back(values):
-    keys, counts = np.sort(np.array(values, np.uint64)), np.arange(len(values)) + 1
-    got = lmscore.unpack(lmscore.pack(keys, counts))
-    assert (got[0] == keys).all() and (got[1] == counts).all()
 
+def test_scores_against_another_corpus(spark):
+    texts = ["a b c", "x a b", "", "c c c"]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = lmscore.score_against(frame(texts), frame(CORPUS)).orderBy("doc_id").collect()
+    assert [r.log10_micro for r in got] == brute_backoff(texts, CORPUS, 3, 1)
+    own = sorted(lmscore.score_against(frame(CORPUS), frame(CORPUS)).collect())
+    assert own == sorted(lmscore.stupid_backoff(frame(CORPUS)).collect())
 
-def test_blocks_do_not_change_scores(spark, monkeypatch):
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_passes_pieces_and_hot_keys_do_not_change_scores(spark, monkeypatch, passes):
     rng = np.random.default_rng(9)
-    docs = spark.createDataFrame([(i, " ".join(f"w{int(x)}" for x in rng.exponential(5, rng.integers(0, 30)))) for i in range(60)], "doc_id long, text string").repartition(3)
-    want = sorted(lmscore.stupid_backoff(docs).collect())
-    monkeypatch.setattr(lmscore, "BLOCK", 40)
-    assert sorted(lmscore.stupid_backoff(docs).collect()) == want
+    docs = spark.createDataFrame([(i, "hot pair " * 3 + " ".join(f"w{int(x)}" for x in rng.exponential(5, rng.integers(0, 30)))) for i in range(60)], "doc_id long, text string").repartition(3)
+    want = sorted(lmscore.stupid_backoff(docs, passes=1).collect())
+    monkeypatch.setattr(lmscore, "CHUNK", 40)
+    monkeypatch.setattr(lmscore, "SAMPLE", 1)
+    monkeypatch.setattr(lmscore, "LEAST_SAMPLED", 2)
+    monkeypatch.setattr(simhash, "PIECE", 11)
+    rows = lmscore.id_and_text(docs, "doc_id", "text")
+    contexts, grams = lmscore.hot_counts(rows, 3, 8)
+    assert contexts.count() and grams.count() and contexts.agg({"n": "max"}).first()[0] >= 60
+    assert sorted(lmscore.stupid_backoff(docs, passes=passes).collect()) == want
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -267,6 +331,25 @@ def test_blocks_hand_on_the_next_text(spark, monkeypatch):
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_a_shuffled_lexicon_gives_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(imatch, "MAX_LEXICON", most)
+    rows = [(i, f"text number {i % 5} of some {i % 3} words") for i in range(30)]
+    got = sorted(imatch.imatch(spark.createDataFrame(rows, "doc_id long, text string"), band=(0.0, 0.9)).collect())
+    monkeypatch.setattr(imatch, "MAX_LEXICON", 4_000_000)
+    assert got == sorted(imatch.imatch(spark.createDataFrame(rows, "doc_id long, text string"), band=(0.0, 0.9)).collect())
+
+
+@pytest.mark.parametrize("quantiles", [1, 2, 3])
+def test_blocks_between_quantiles(spark, monkeypatch, quantiles):
+    """Blocks rise with the id, whatever their number."""
+    monkeypatch.setattr(imatch, "DOCS_A_BLOCK", 2)
+    monkeypatch.setattr(imatch, "QUANTILES", quantiles)
+    rows = spark.createDataFrame([(i * i - 50, "x") for i in range(40)] + [(None, "y")], "doc_id long, text string")
+    got = sorted(((r.doc_id if r.doc_id is not None else -(10**9), r["__block"]) for r in imatch.in_blocks(rows, "doc_id").collect()))
+    assert [b for _, b in got] == sorted(b for _, b in got) and len({b for _, b in got}) > 8
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -354,6 +437,31 @@ def test_tokens_equal_the_tokenizer():
         assert ids == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), packing.Tokens(path)
+    assert not own.by_word and packing.Tokens(vocabulary()).by_word
+    for text in ("Some WORDS here  and\nthere", "<|endoftext|> x", ""):
+        assert np.frombuffer(b"".join(own.of_text(text)), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab'1 \n\t\u00a0é語.<|endoftext|>", max_size=60))
+def test_tokens_by_word_are_those_of_the_text(text):
+    from tokenizers import Tokenizer
+
+    if not TOKENIZERS:
+        TOKENIZERS.update(t=Tokenizer.from_file(vocabulary()), own=packing.Tokens(vocabulary()))
+    t, own = TOKENIZERS["t"], TOKENIZERS["own"]
+    assert np.frombuffer(b"".join(own.of_text(text)), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+TOKENIZERS: dict = {}
+
+
 def test_packing_places_each_id_once(spark):
     from tokenizers import Tokenizer
 
@@ -392,6 +500,18 @@ def test_patterns_hold_the_demand():
     assert sum(k for _, k in patterns) <= sum(k for _, k in packing.first_fit(widths, demand, 256))
 
 
+def test_patterns_are_near_the_bound():
+    """A full set of widths, and one width with most of the demand, against bounds that no packing can beat."""
+    for demand in (np.random.default_rng(1).integers(0, 10**6, 256), np.where(np.arange(256) == 99, 10**7, 10)):
+        widths, demand = np.arange(1, 257)[demand > 0], demand[demand > 0]
+        patterns = packing.solve_patterns(widths, demand, 256)
+        assert (sum(p * k for p, k in patterns) == demand).all()
+        volume = -(-int((widths * demand).sum()) // 256)
+        alone = int(demand[widths > 128].sum())  # two of these never share a sequence
+        pairs = -(-int(demand[widths >= 100].sum()) // 2)  # nor do three of these
+        assert sum(k for _, k in patterns) <= 1.01 * max(volume, alone, pairs)
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -414,6 +534,23 @@ def test_toxicity_finds_the_sentence(spark):
     assert model.score(model.sentence_scores((" ".join(plain) + ". ").encode() * 500)) < 0.7
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_toxicity_is_equal_under_any_partitioning(spark, kind):
+    """Copies with contrary labels, repeated ids, null ids and texts, string ids and clashing columns."""
+    rows = [(i % 90, f"good words number {i % 7} here. and some more {i % 11}") for i in range(120)] + [(500 + i, "the same horrible copy. again") for i in range(30)] + [(None, "x"), (7, None)]
+    labels = [(i, int(i % 5 == 0)) for i in range(90)] + [(500 + i, i % 2) for i in range(30)] + [(3, 1), (3, 0), (4, 7), (None, 1)]
+    found = set()
+    for parts in (2, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text", "1 as toxic", "2 as h", "'x' as bag").repartition(parts)
+        known = spark.createDataFrame(labels, "doc_id long, toxic int").selectExpr(f"cast(doc_id as {kind}) doc_id", "toxic", "'y' as text").repartition(parts)
+        sample = toxicity.sampled(docs, known).collect()
+        assert len(sample) == len({r.text for r in sample}) and next(r.toxic for r in sample if "horrible" in r.text) == 1
+        model = toxicity.fit(docs, known)
+        found.add((tuple(sorted((r.text, r.toxic) for r in sample)), tuple(sorted(model.weights.by_feature.items())), model.odds))
+        assert toxicity.score_toxicity(docs, model).count() == len(rows)
+    assert len(found) == 1
+
+
 def test_toxicity_without_labels_scores_zero(spark):
     docs, none = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.score_toxicity(docs, toxicity.fit(docs, none)).collect()] == [0, 0]
