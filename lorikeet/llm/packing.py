@@ -32,6 +32,8 @@ UNIT = 8
 END_ID = 1
 CACHE = 600_000
 ROWS_A_BUCKET = 20_000
+#: What stands for a space in the alphabet of byte-level BPE.
+SPACE = "\u0120"
 #: The program is solved until its value is proven to be within so many sequences, or that share of all, of the best.
 GAP, GAP_SHARE = 1.0, 1e-6
 
@@ -60,6 +62,7 @@ class Tokens(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer)
         settings = json.loads(self.tokenizer.to_str())
         self.by_word = splits_at_spaces(settings)
+        self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.added = [t["content"] for t in settings.get("added_tokens") or ()]
 
     def ids(self, text: str) -> bytes:
@@ -68,7 +71,9 @@ class Tokens(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = found = self.ids(" " + word)
+        # the library's own steps, without the rest of an encoding; plain letters are one piece after a space
+        pieces = [SPACE + word] if word.isascii() and word.isalpha() else [p for p, _ in self.split.pre_tokenize_str(" " + word)]
+        self[word] = found = np.array([t.id for p in pieces for t in self.model.tokenize(p)], "<u4").tobytes()
         return found
 
     def of_text(self, text: str) -> Iterator[bytes]:
