@@ -34,6 +34,8 @@ CACHE = 600_000
 ROWS_A_BUCKET = 20_000
 #: What stands for a space in the alphabet of byte-level BPE.
 SPACE = "\u0120"
+#: Marks that stand alone after a word's letters.
+MARKS = frozenset(".,;:!?")
 #: The program is solved until its value is proven to be within so many sequences, or that share of all, of the best.
 GAP, GAP_SHARE = 1.0, 1e-6
 
@@ -71,11 +73,20 @@ class Tokens(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        # the library's own steps, without the rest of an encoding; plain letters are one piece after a space
-        pieces = [SPACE + word] if word.isascii() and word.isalpha() else [p for p, _ in self.split.pre_tokenize_str(" " + word)]
-        self[word] = found = np.array([t.id for p in pieces for t in self.model.tokenize(p)], "<u4").tobytes()
+        # the library's own steps, without the rest of an encoding; letters are one piece with the space before
+        # them, and a mark after them is another, so such words need not be split by the library
+        if word[-1] in MARKS and word[:-1].isalpha():
+            found = self[word[:-1]] + self.pieces([word[-1]])
+        elif word.isascii() and word.isalpha():
+            found = self.pieces([SPACE + word])
+        else:
+            found = self.pieces([p for p, _ in self.split.pre_tokenize_str(" " + word)])
+        self[word] = found
         return found
 
+    def pieces(self, pieces: list[str]) -> bytes:
+        return np.array([t.id for p in pieces for t in self.model.tokenize(p)], "<u4").tobytes()
+
     def of_text(self, text: str) -> Iterator[bytes]:
         """The ids of a text in consecutive parts."""
         if not self.by_word or any(t in text for t in self.added):
