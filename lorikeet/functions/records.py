@@ -170,7 +170,7 @@ def faculty() -> Column:
 
 def programme() -> Column:
     ways = contacts("prodi")
-    codes = F.array_compact(F.array(F.when(known("kode_dikti_prodi"), say("National code: ", F.col("kode_dikti_prodi").cast("string"))), F.when(known("kode_unhas_prodi"), say("Internal code: ", F.col("kode_unhas_prodi").cast("string")))))
+    codes = F.array_compact(F.array(F.when(known("kode_dikti_prodi"), say("National code: ", F.col("kode_dikti_prodi").cast("string"))), F.when(known("kode_internal_prodi"), say("Internal code: ", F.col("kode_internal_prodi").cast("string")))))
     return say(
         *(field("nama_prodi"), " (", field("singkatan_prodi"), ") is a programme for the degree ", field("nama_jenjang"), " at the faculty ", field("nama_fakultas"), only(known("alamat_prodi"), ", located at ", F.col("alamat_prodi")), "."),
         *("\nStatus: ", F.when(flag("status_aktif_prodi"), "active").otherwise("inactive"), "."),
@@ -268,10 +268,10 @@ def seat_texts(quota: Column) -> Column:
     return F.transform(quota, lambda q: say(safe(q["nama_prodi"]), " (", num(q["jumlah_diterima"]), " seats)"))
 
 
-#: The record types, with the fields that they may have.
+#: The record types, with the fields that they may have; keys that carry an institution's name are read without it.
 FIELDS: dict[str, str] = {
     "faculty": "nama_fakultas string, singkatan_fakultas string, kode_fakultas string, alamat_fakultas string, telepon_fakultas string, email_fakultas string, website_fakultas string, jumlah_prodi_fakultas long, jumlah_gedung_fakultas long, jumlah_dosen_fakultas long, jumlah_mahasiswa_fakultas long, jumlah_laboratorium_fakultas long, jumlah_kelas_fakultas long, updated_at string",
-    "programme": "nama_prodi string, singkatan_prodi string, nama_jenjang string, nama_fakultas string, alamat_prodi string, kode_dikti_prodi string, kode_unhas_prodi string, gelar_kelulusan_prodi string, nama_kaprodi string, status_aktif_prodi long, telepon_prodi string, email_prodi string, website_prodi string, jumlah_dosen_prodi long, jumlah_mahasiswa_prodi long, jumlah_kelas_prodi long, jumlah_mata_kuliah_prodi long, updated_at string",
+    "programme": "nama_prodi string, singkatan_prodi string, nama_jenjang string, nama_fakultas string, alamat_prodi string, kode_dikti_prodi string, kode_internal_prodi string, gelar_kelulusan_prodi string, nama_kaprodi string, status_aktif_prodi long, telepon_prodi string, email_prodi string, website_prodi string, jumlah_dosen_prodi long, jumlah_mahasiswa_prodi long, jumlah_kelas_prodi long, jumlah_mata_kuliah_prodi long, updated_at string",
     "degree": "kode_jenjang string, nama_jenjang string, maksimal_sks long, maksimal_semester long, maksimal_sks_semester_awal long, batas_evaluasi_semester_awal long, jumlah_prodi_jenjang long, jumlah_mahasiswa_jenjang long, updated_at string",
     "curriculum": "nama_kurikulum string, tahun_berlaku long, nama_program_studi string, nomor_sk_rektor string, tanggal_sk_rektor string, status_aktif_kurikulum long, total_sks_lulus long, total_sks_wajib long, total_sks_pilihan long, jumlah_mata_kuliah long, jumlah_mk_wajib long, jumlah_mk_pilihan long, masa_studi_ideal long, masa_studi_maksimal long, updated_at string",
     "course": "nama_mk string, kode_mk string, singkatan_mk string, mk_wajib_atau_pilihan string, tipe_kelas_mk string, paket_mk_setiap_semester long, status_mata_kuliah_umum long, status_mata_kuliah_aktif long, jumlah_kelas long, jumlah_mahasiswa long, updated_at string",
@@ -316,16 +316,16 @@ def narrate(records: DataFrame, endpoint: str, registry: dict = NARRATORS) -> Da
 
 #: What a summary says of each type; a number that is missing reads ``?``.
 SUMMARIES: dict[str, str] = {
-    "faculty": "There are {jumlah_fakultas_unhas} faculties with {jumlah_prodi_unhas} programmes, {jumlah_gedung_unhas} buildings and {jumlah_dosen_unhas} lecturers.",
+    "faculty": "There are {jumlah_fakultas} faculties with {jumlah_prodi} programmes, {jumlah_gedung} buildings and {jumlah_dosen} lecturers.",
     "programme": "There are {jumlah_prodi_total} programmes with {jumlah_mahasiswa_total} students and {jumlah_dosen_total} lecturers.",
-    "degree": "There are {jumlah_jenjang_unhas} degrees.",
+    "degree": "There are {jumlah_jenjang} degrees.",
     "curriculum": "There are {jumlah_kurikulum} curricula, of which {jumlah_kurikulum_aktif} are active.",
     "course": "There are {jumlah_mata_kuliah} courses: {jumlah_mk_wajib} required and {jumlah_mk_pilihan} elective.",
     "prerequisite": "There are {jumlah_mata_kuliah_prasyarat} courses with prerequisites and {jumlah_mk_tanpa_prasyarat} without.",
     "class": "There are {jumlah_kelas_aktif} active classes and {jumlah_kelas_batal} cancelled ones.{per_semester}",
     "timetable": "The timetable: {per_hari}{jumlah_ruang_terpakai} rooms are used and {jumlah_dosen_mengajar} lecturers teach.",
-    "facility": "There are {jumlah_gedung_unhas} buildings with {jumlah_ruangan_unhas} rooms for {total_kapasitas_unhas} people; {jumlah_ruangan_kuliah_unhas} are lecture rooms, of which {jumlah_ruangan_layak_unhas} are fit for use.",
-    "admission": "There are {jumlah_jalur_masuk_unhas} admission paths.",
+    "facility": "There are {jumlah_gedung} buildings with {jumlah_ruangan} rooms for {total_kapasitas} people; {jumlah_ruangan_kuliah} are lecture rooms, of which {jumlah_ruangan_layak} are fit for use.",
+    "admission": "There are {jumlah_jalur_masuk} admission paths.",
     "notice": "There are {jumlah_pengumuman} notices.",
 }
 #: Parts of a summary that are nothing, not ``?``, where they are missing.
@@ -375,14 +375,14 @@ def roll_up(records: DataFrame, endpoint: str) -> DataFrame:
         newest = F.reverse(F.array_sort(F.collect_list(F.struct("tahun_ajaran", "jenis_semester", "jumlah_kelas"))))  # a row per term
         return live.agg(total("live").alias("jumlah_kelas_aktif"), total("gone").alias("jumlah_kelas_batal"), per_term(newest).alias("per_semester"))
     aggs = {
-        "faculty": {"jumlah_fakultas_unhas": n, "jumlah_prodi_unhas": total("jumlah_prodi_fakultas"), "jumlah_gedung_unhas": total("jumlah_gedung_fakultas"), "jumlah_dosen_unhas": total("jumlah_dosen_fakultas")},
+        "faculty": {"jumlah_fakultas": n, "jumlah_prodi": total("jumlah_prodi_fakultas"), "jumlah_gedung": total("jumlah_gedung_fakultas"), "jumlah_dosen": total("jumlah_dosen_fakultas")},
         "programme": {"jumlah_prodi_total": n, "jumlah_mahasiswa_total": total("jumlah_mahasiswa_prodi"), "jumlah_dosen_total": total("jumlah_dosen_prodi")},
-        "degree": {"jumlah_jenjang_unhas": n},
+        "degree": {"jumlah_jenjang": n},
         "curriculum": {"jumlah_kurikulum": n, "jumlah_kurikulum_aktif": F.count_if(flag("status_aktif_kurikulum"))},
         "course": {"jumlah_mata_kuliah": n, "jumlah_mk_wajib": F.count_if(F.upper(F.trim("mk_wajib_atau_pilihan")) == "W"), "jumlah_mk_pilihan": F.count_if(F.upper(F.trim("mk_wajib_atau_pilihan")) == "P")},
         "prerequisite": {"jumlah_mata_kuliah_prasyarat": F.count_if(whole("jumlah_mk_prasyarat") > 0), "jumlah_mk_tanpa_prasyarat": F.count_if(whole("jumlah_mk_prasyarat") <= 0)},
-        "facility": {"jumlah_gedung_unhas": n, "jumlah_ruangan_unhas": total("jumlah_ruangan_gedung"), "total_kapasitas_unhas": total("total_kapasitas_gedung"), "jumlah_ruangan_kuliah_unhas": total("jumlah_ruangan_kuliah_gedung"), "jumlah_ruangan_layak_unhas": total("jumlah_ruangan_layak_gedung")},
-        "admission": {"jumlah_jalur_masuk_unhas": F.count_distinct(F.nullif("jalur_masuk", F.lit("")))},
+        "facility": {"jumlah_gedung": n, "jumlah_ruangan": total("jumlah_ruangan_gedung"), "total_kapasitas": total("total_kapasitas_gedung"), "jumlah_ruangan_kuliah": total("jumlah_ruangan_kuliah_gedung"), "jumlah_ruangan_layak": total("jumlah_ruangan_layak_gedung")},
+        "admission": {"jumlah_jalur_masuk": F.count_distinct(F.nullif("jalur_masuk", F.lit("")))},
         "notice": {"jumlah_pengumuman": n},
     }[endpoint]
     return r.agg(*[c.alias(k) for k, c in aggs.items()])

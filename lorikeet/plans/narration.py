@@ -15,7 +15,7 @@ _TERM = "concat('202', k % 4, '/202', k % 4 + 1)"
 #: Table, key, and fields as expressions over the key ``k`` and the name ``x`` that Spark and DuckDB read alike.
 RECORDS: dict[str, tuple[str, str, str, dict[str, str]]] = {
     "faculty": ("nation", "n_nationkey", "n_name", {"nama_fakultas": "x", "singkatan_fakultas": "CASE WHEN k % 4 <> 0 THEN lower(x) ELSE '' END", "kode_fakultas": "concat('F', k)", "alamat_fakultas": "CASE k % 3 WHEN 0 THEN concat('Road ', k) WHEN 1 THEN '-' END", "telepon_fakultas": "CASE WHEN k % 2 = 0 THEN concat('0', k) END", "email_fakultas": "CASE WHEN k % 3 = 0 THEN concat(lower(x), '@x') END", "website_fakultas": "CASE WHEN k % 5 = 0 THEN concat(lower(x), '.y') ELSE '' END", "jumlah_prodi_fakultas": "CASE WHEN k % 7 <> 0 THEN k END", "jumlah_gedung_fakultas": "k % 5", "jumlah_dosen_fakultas": "k * 3", "jumlah_mahasiswa_fakultas": "k * 100", "jumlah_laboratorium_fakultas": "k % 2", "updated_at": _DAY}),
-    "programme": ("supplier", "s_suppkey", "s_name", {"nama_prodi": "x", "singkatan_prodi": "concat('P', k)", "nama_jenjang": "CASE WHEN k % 6 <> 0 THEN 'S1' END", "nama_fakultas": "concat('F', k % 9)", "alamat_prodi": "CASE WHEN k % 3 = 0 THEN concat('Road ', k) END", "kode_dikti_prodi": "CASE WHEN k % 2 = 0 THEN concat('D', k) END", "kode_unhas_prodi": "CASE WHEN k % 3 = 0 THEN concat('U', k) ELSE '-' END", "gelar_kelulusan_prodi": "CASE WHEN k % 4 = 0 THEN 'B.Sc.' ELSE '' END", "nama_kaprodi": "CASE WHEN k % 5 = 0 THEN concat('Dr. ', k) END", "status_aktif_prodi": "CASE WHEN k % 3 = 0 THEN 1 WHEN k % 3 = 1 THEN 0 END", "email_prodi": "CASE WHEN k % 2 = 1 THEN concat('p', k, '@x') END", "website_prodi": "CASE WHEN k % 4 = 1 THEN concat('p', k, '.y') END", "jumlah_dosen_prodi": "k % 40", "jumlah_mahasiswa_prodi": "k * 7", "jumlah_mata_kuliah_prodi": "k % 50", "updated_at": _DAY}),
+    "programme": ("supplier", "s_suppkey", "s_name", {"nama_prodi": "x", "singkatan_prodi": "concat('P', k)", "nama_jenjang": "CASE WHEN k % 6 <> 0 THEN 'S1' END", "nama_fakultas": "concat('F', k % 9)", "alamat_prodi": "CASE WHEN k % 3 = 0 THEN concat('Road ', k) END", "kode_dikti_prodi": "CASE WHEN k % 2 = 0 THEN concat('D', k) END", "kode_internal_prodi": "CASE WHEN k % 3 = 0 THEN concat('U', k) ELSE '-' END", "gelar_kelulusan_prodi": "CASE WHEN k % 4 = 0 THEN 'B.Sc.' ELSE '' END", "nama_kaprodi": "CASE WHEN k % 5 = 0 THEN concat('Dr. ', k) END", "status_aktif_prodi": "CASE WHEN k % 3 = 0 THEN 1 WHEN k % 3 = 1 THEN 0 END", "email_prodi": "CASE WHEN k % 2 = 1 THEN concat('p', k, '@x') END", "website_prodi": "CASE WHEN k % 4 = 1 THEN concat('p', k, '.y') END", "jumlah_dosen_prodi": "k % 40", "jumlah_mahasiswa_prodi": "k * 7", "jumlah_mata_kuliah_prodi": "k % 50", "updated_at": _DAY}),
     "degree": ("region", "r_regionkey", "r_name", {"kode_jenjang": "concat('S', k)", "nama_jenjang": "x", "maksimal_sks": "20 + k", "maksimal_semester": "CASE WHEN k % 2 = 0 THEN 8 + k END", "maksimal_sks_semester_awal": "CASE WHEN k <> 3 THEN 18 END", "batas_evaluasi_semester_awal": "k", "jumlah_prodi_jenjang": "k * 5", "jumlah_mahasiswa_jenjang": "k * 1000", "updated_at": _DAY}),
     "curriculum": ("part", "p_partkey", "p_name", {"nama_kurikulum": "x", "tahun_berlaku": "2010 + k % 16", "nama_program_studi": "concat('P', k % 30)", "nomor_sk_rektor": "CASE k % 4 WHEN 0 THEN '0000' WHEN 1 THEN concat('SK/', k) WHEN 2 THEN '-' END", "tanggal_sk_rektor": "CASE WHEN k % 8 = 1 THEN '2020-01-31' END", "status_aktif_kurikulum": "k % 2", "total_sks_lulus": "CASE WHEN k % 3 <> 0 THEN 140 + k % 9 END", "total_sks_wajib": "120", "total_sks_pilihan": "20 + k % 9", "jumlah_mata_kuliah": "CASE WHEN k % 5 <> 0 THEN 50 + k % 7 END", "jumlah_mk_wajib": "40", "jumlah_mk_pilihan": "10 + k % 7", "masa_studi_ideal": "8", "updated_at": _DAY}),
     "course": ("part", "p_partkey", "p_name", {"nama_mk": "x", "kode_mk": "concat('MK', k)", "singkatan_mk": "CASE k % 3 WHEN 0 THEN concat('m', k) WHEN 1 THEN '-' END", "mk_wajib_atau_pilihan": "CASE k % 5 WHEN 0 THEN 'W' WHEN 1 THEN 'P ' WHEN 2 THEN 'w' WHEN 3 THEN 'OTHER' END", "tipe_kelas_mk": "CASE WHEN k % 2 = 0 THEN 'ONLINE' END", "paket_mk_setiap_semester": "1 + k % 8", "status_mata_kuliah_umum": "k % 2", "status_mata_kuliah_aktif": "CASE WHEN k % 4 <> 0 THEN 1 END", "jumlah_kelas": "k % 6", "jumlah_mahasiswa": "k % 200", "updated_at": _DAY}),
