@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 from lorikeet.config import DEFAULTS
 from lorikeet.functions import text as tx
 
+#: Ranges of numbered rows per shuffle partition, and rows looked at to bound each.
+RANGES = 2
+PER_RANGE = 16
+
 
 def pair_answers(messages: DataFrame, session: str = "session_id", order: str = "created_at", cols: tuple[str, ...] = ("id", "content")) -> DataFrame:
     """Each assistant row with the latest user row strictly before it in its session; the unpaired go.
 
-    One pass over a window instead of a self-join; a range frame leaves out rows with equal times.
+    One pass over a window instead of a self-join; a range frame leaves out rows with equal times. Rows without
+    a session or a time pair with none.
     """
-    question = F.when(F.col("role") == "user", F.struct(F.col(order).alias("at"), *cols))
+    question = F.when((F.col("role") == "user") & F.col(session).isNotNull() & F.col(order).isNotNull(), F.struct(F.col(order).alias("at"), *cols))
     # rows at one time share a rank, so a frame that ends one rank before has just the earlier ones
     ranked = messages.withColumn("__rank", F.dense_rank().over(W.partitionBy(session).orderBy(order)))
     earlier = W.partitionBy(session).orderBy("__rank").rangeBetween(W.unboundedPreceding, -1)
@@ -35,11 +40,23 @@ def next_number(existing: DataFrame, col: str = "no") -> DataFrame:
 
 
 def number_rows(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
-    """W8. Numbers are dense over all rows in order: rows are counted per range, then within it."""
-    placed = rows.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id())
-    inside = W.partitionBy("__pid").orderBy(*order)
-    sizes = placed.groupBy("__pid").count().select("__pid", (F.sum("count").over(W.orderBy("__pid")) - F.col("count")).alias("__before"))
-    return placed.withColumn("__rn", F.row_number().over(inside)).join(sizes, "__pid").withColumn("no", (F.col("__rn") + F.col("__before") + (start - 1)).cast("long")).drop("__pid", "__rn", "__before")
+    """W8. Numbers are dense over all rows in order: rows are counted per range, then within it.
+
+    A row's range follows from its values and from bounds fixed beforehand. Partition ids would not do: the rows
+    are read twice, and an adaptive plan coalesces the partitions of each reading in its own way.
+    """
+    ranges = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*order)
+    # the rows with the least hashes only say where ranges end; every row is counted and numbered
+    some = rows.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(PER_RANGE * ranges)
+    ends = some.agg(F.sort_array(F.collect_list("k")).alias("ks")).select(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("ks", (i * F.size("ks") / ranges).cast("int"))).alias("__ends"))
+    # a binary search: how many ends are less than the row's key, one bit at a time
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(ranges.bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get("__ends", lo + step - 1) < key, lo + step).otherwise(lo))
+    placed = rows.join(F.broadcast(ends)).withColumn("__range", at).drop("__ends")
+    sizes = placed.groupBy("__range").count().select("__range", (F.sum("count").over(W.orderBy("__range")) - F.col("count")).alias("__before"))
+    inside = W.partitionBy("__range").orderBy(*order)
+    return placed.withColumn("__rn", F.row_number().over(inside)).join(F.broadcast(sizes), "__range").withColumn("no", (F.col("__rn") + F.col("__before") + (start - 1)).cast("long")).drop("__range", "__rn", "__before")
 
 
 SHEET = ("no", "question", "images", "created_at", "source_message_id", "model", "answer", "sources", "labeled_by", "intent_predicted", "labeled_quality", "notes_respond", "labeled_intent", "notes_intent")

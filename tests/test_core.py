@@ -226,6 +226,29 @@ def test_numbers_and_known_ids(spark):
     assert [r.no for r in rows] == list(range(8, 58)) and rows[0].id == 49
 
 
+def test_numbers_are_dense_where_partitions_are_coalesced(spark):
+    """Wide rows fill several partitions where the rows that are just counted fit into one."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    rows = spark.range(6000, numPartitions=3).select(F.when(F.col("id") > 2, F.col("id") % 4).alias("created_at"), (F.col("id") * 7919 % 6000).alias("id"), F.expr("array_join(transform(sequence(0, 9), i -> sha2(concat_ws(',', id, i), 256)), '')").alias("content"))
+    try:
+        for k, v in zip(before, ("12", "256k", "false"), strict=True):
+            spark.conf.set(k, v)
+        for some in (rows, rows.limit(1), rows.limit(0)):
+            got = dialogue.number_rows(some.repartition(12, "id"), 8, ["created_at", "id"]).collect()
+            wanted = sorted(((r.created_at is not None, r.created_at, r.id, r.content) for r in some.collect()), key=lambda r: (r[0], r[1] or 0, r[2]))
+            assert [(r.created_at, r.id, r.content) for r in sorted(got, key=lambda r: r.no)] == [r[1:] for r in wanted]
+            assert sorted(r.no for r in got) == list(range(8, 8 + len(wanted)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_without_session_or_time_pair_with_none(spark):
+    rows = [(1, None, 1, "user"), (2, None, 2, "assistant"), (3, 5, None, "user"), (4, 5, 1, "assistant"), (5, 5, 2, "user"), (6, 5, 3, "assistant")]
+    m = spark.createDataFrame(rows, "id int, session_id int, created_at int, role string").withColumn("content", F.lit("x"))
+    assert [(r.id, r.question_id) for r in dialogue.pair_answers(m).collect()] == [(6, 5)]
+
+
 def test_sheet_has_fourteen_columns(spark):
     pairs = spark.sql("select 1 no, 'q' question_content, array('u') question_images, timestamp'2026-01-01 00:00:00' created_at, 'id' id, named_struct('model', 'm', 'intent', 'chat', 'intent_confidence', 0.5D) debug, 'a' content, cast(null as array<struct<file_name:string,chunk_index:int,element_type:string,score:double,text_preview:string>>) sources")
     row = dialogue.sheet_rows(pairs).first()
