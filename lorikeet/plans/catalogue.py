@@ -143,19 +143,24 @@ SELECT query_id, doc_id, chunk_index::BIGINT AS chunk_index, kind::BIGINT AS kin
 )
 def neighbour_expand(spark, sf_dir):
     """The hits are each question's best chunks of all documents, by the lexical score."""
-    # a chunk table, as an index has: the chunks are read twice, and cut once
-    path = f"{_shared(spark)}/lorikeet-{spark.sparkContext.applicationId}/chunks-{uuid.uuid4().hex}"
-    _line_chunks(spark, sf_dir).write.parquet(path)
-    chunks = spark.read.parquet(path)
+    # a chunk table, as an index has: the chunks are read twice, and cut once; so are the hits
+    chunks = _kept(spark, _line_chunks(spark, sf_dir), "chunks")
     q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     places = chunks.select(F.struct(F.col("file_name").cast("long").alias("file_name"), "chunk_index").alias("at"), "text")
     scored = retrieval.lexical_candidates(q, places, 12, question="question", id_col="at")
     best = retrieval.rerank(scored, F.col("score"), n=12, tie="at").withColumnRenamed("final_rank", "rank")
     hits = best.select("query_id", F.col("at.file_name").cast("string").alias("file_name"), "at.chunk_index", "rank", "score").join(chunks.select("file_name", "chunk_index", "section"), ["file_name", "chunk_index"])
-    out = retrieval.expand_neighbours(hits, chunks)
+    out = retrieval.expand_neighbours(_kept(spark, hits, "hits"), chunks)
     return out.select("query_id", F.col("file_name").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("kind").cast("long").alias("kind"), F.col("place").cast("long").alias("place"))
 
 
+def _kept(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that readers don't compute them anew."""
+    path = f"{_shared(spark)}/lorikeet-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 _HTML = r"""
 WITH RECURSIVE b AS (
   SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<!--.*?-->', '', 'g') AS body FROM pages),

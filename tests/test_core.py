@@ -228,6 +228,19 @@ def test_terms_of_a_passage_are_found_once(spark):
     assert len(splits) == 2 and all("Generate explode(" in line for line in splits) and plan.count("split(") == 2
 
 
+def test_neighbours_read_hits_that_are_kept(spark, tmp_path):
+    lines = "\n".join(f"line {i} of a long enough text about shelf {i}" for i in range(60))
+    spark.createDataFrame([(i, lines.replace("shelf", f"shelf{i}")) for i in range(4)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "shelf2 and line 7"), (1, "not asked"), (50, "none")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = catalogue.neighbour_expand(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "MapInArrow" not in plan
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalogue.SQL["neighbour_expand"]).fetchall())
+
+
 # ---------------------------------------------------------------- dialogue
 
 
