@@ -272,6 +272,38 @@ def test_passes_pieces_and_hot_keys_do_not_change_scores(spark, monkeypatch, pas
     assert sorted(lmscore.stupid_backoff(docs, passes=passes).collect()) == want
 
 
+def test_words_are_hashed_at_once(monkeypatch):
+    """No step of Python per word, which took most of the time; as many hashes as words, in whatever pieces."""
+    rng = np.random.default_rng(4)
+    letters = ["a", "b", "\0", "\x1c", "\x85", "\xa0", "ß", "語", "\U0001f600", " ", "\t", "\n", "\x0b", "\f", "\r"]
+    sizes = [1, 2, 7, 8, 9, 15, 16, 17, 255, 256, 257, 300]
+    texts = [None, "", " \t\n", "end", "start", " both ", "A\x0bB\fC", *("".join(rng.choice(letters, 60)) for _ in range(50))]
+    texts += [" ".join("x" * (n - j) + "y" * j for j in range(3) if j <= n) for n in sizes for _ in range(2)]
+    want = [w for t in texts for w in (t or "").lower().encode().split()]
+    whole = lmscore.word_hashes([lmscore.lowered(t) for t in texts])
+    assert whole[0].tolist() == [len((t or "").encode().split()) for t in texts]
+    assert len(set(zip(want, whole[1].tolist(), strict=True))) == len(set(want)) == len(set(whole[1].tolist()))
+    (rows, keys), *rest = lmscore.chunks(texts, (3, 1))
+    assert not rest and len(rows) == len(want) and keys[1][1].tolist() == whole[1].tolist()
+    monkeypatch.setattr(lmscore, "CHUNK", 50)
+    parts = list(lmscore.chunks(texts, (3, 1)))
+    assert len(parts) > 50 and np.concatenate([r for r, _ in parts]).tolist() == rows.tolist()
+    assert all(np.concatenate([k[o][c] for _, k in parts]).tolist() == keys[o][c].tolist() for o in (0, 1) for c in (0, 1))
+    called = []
+    monkeypatch.setattr(lmscore.xxhash, "xxh64_intdigest", lambda w: called.append(w) or xxhash.xxh3_64_intdigest(w))
+    assert sum(len(r) for r, _ in lmscore.chunks(["some plain words " * 100], (3,))) == 300 and not called
+
+
+def test_scores_lower_case_as_sql_does(spark):
+    import duckdb
+
+    docs = spark.createDataFrame([(1, "ΟΔΟΣ οδοσ Οδος ΣΑΣ"), (2, "İ i I i̇ Ä ä ẞ ß"), (3, "οδος οδοσ")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.log10_micro) for r in lmscore.stupid_backoff(docs).collect())
+    with duckdb.connect() as db:
+        db.register("documents", docs.toArrow())
+        assert got == sorted(r[:3] for r in db.execute(lmscore.OP4_SQL).fetchall())
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
