@@ -11,7 +11,10 @@ language, those with the least hashes of id and text. Its table has BUCKETS coun
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import table, with_outputs
+from lorikeet.llm.common import slices, table, with_outputs
 
 SAMPLE_A_LANGUAGE = 1500
 BUCKETS = 1 << 15
 SWITCH = 8.0
 CACHE = 200_000
+STEP = 20_000
 CELLS = 400_000
 SCRIPT_SHARE = 0.01
 ELSEWHERE = -50.0
@@ -51,21 +55,31 @@ SCRIPTS = (
 NAMES = tuple(dict.fromkeys(n for n, _, _ in SCRIPTS)) + ("other",)
 
 
+def letters_of(word: str) -> str:
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
+@lru_cache(1 << 14)
+def script_of_letter(letter: str) -> int:
+    x = ord(letter)
+    return next((NAMES.index(n) for n, a, b in SCRIPTS if a <= x <= b), len(NAMES) - 1)
+
+
 def script_of(word: str) -> int:
     """The script of a word's first letter; -1 without letters."""
-    for c in word:
-        if c.isalpha():
-            x = ord(c)
-            return next((NAMES.index(n) for n, a, b in SCRIPTS if a <= x <= b), len(NAMES) - 1)
-    return -1
+    return next((script_of_letter(c) for c in word if c.isalpha()), -1)
+
+
+@lru_cache(1 << 16)
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % BUCKETS
 
 
 def word_features(word: str) -> list[int]:
     """Buckets of a lower-cased word's trigrams, padded, and of the word; its letters only."""
-    bare = "".join(c for c in word if c.isalpha())
+    bare = letters_of(word)
     padded = f"^{bare}$"
-    grams = [padded[i : i + 3] for i in range(len(padded) - 2)] + [f"={bare}"]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+    return [*map(bucket, map("".join, zip(padded, padded[1:], padded[2:]))), zlib.crc32(f"={bare}".encode()) % BUCKETS]
 
 
 class Model:
@@ -89,24 +103,52 @@ class Model:
         allowed = self.uses[:, script]
         return found + np.where(allowed, 0, ELSEWHERE).astype(np.float32) if allowed.any() else found
 
+    def scores_of(self, words: list[str], scripts: np.ndarray) -> np.ndarray:
+        """``scores`` of words of these scripts, with features added in the same order, so equal to the last bit."""
+        found = np.zeros((len(words), len(self.langs)), np.float32)
+        lettered = np.flatnonzero(scripts >= 0)
+        features = [word_features(words[i]) for i in lettered]
+        sizes = np.fromiter(map(len, features), np.int64, len(features))
+        flat = np.fromiter(chain.from_iterable(features), np.int64, int(sizes.sum()))
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes, total = (np.cumsum(sizes) - sizes)[order], sizes[order], np.zeros((len(order), len(self.langs)), np.float32)
+        for k in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(-sizes, -k, "left"))  # words with more than k features
+            total[:n] += self.logs[flat[starts[:n] + k]]
+        found[lettered[order]] = total
+        allowed = self.uses.T[scripts]
+        found += np.where((scripts >= 0)[:, None] & allowed.any(axis=1, keepdims=True) & ~allowed, ELSEWHERE, 0).astype(np.float32)
+        return found
+
 
 class Words(dict):
-    """Row numbers of words in a growing table of scores; bounded."""
+    """Row numbers of words in a growing table of scores, which ``learn`` fills for the words met since."""
 
     def __init__(self, model: Model):
         self.model = model
         self.table = np.zeros((1024, len(model.langs)), np.float32)
         self.letters, self.known = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.fresh: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.table):
-            self.table, self.letters, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.letters, self.known))
-        self.table[n], self.letters[n] = self.model.scores(word), sum(map(str.isalpha, word))
-        self.known[n] = self.letters[n] * self.model.knows(word)
-        self[word] = n
+        self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
+    def learn(self) -> None:
+        first, end = len(self) - len(self.fresh), len(self)
+        if end > len(self.table):
+            more = max(end, 2 * len(self.table)) - len(self.table)
+            self.table, self.letters, self.known = (np.concatenate([x, np.zeros((more, *x.shape[1:]), x.dtype)]) for x in (self.table, self.letters, self.known))
+        for at in range(first, end, STEP):
+            some = self.fresh[at - first : at - first + STEP]
+            scripts = np.fromiter(map(script_of, some), np.int64, len(some))
+            here = slice(at, at + len(some))
+            self.table[here] = self.model.scores_of(some, scripts)
+            self.letters[here] = [len(letters_of(w)) for w in some]
+            self.known[here] = self.letters[here] * ((scripts >= 0) & self.model.uses.any(axis=0)[scripts])
+        self.fresh = []
+
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best labels for scores of shape (words, texts, languages); padding has score 0 for all."""
@@ -134,6 +176,7 @@ def label_batch(words: Words, texts: list[str | None], penalty: float) -> list[t
     if not langs:
         return out
     ids = {i: np.array(list(map(words.__getitem__, found)), np.int64) for i, t in enumerate(texts) if t and (found := t.lower().split())}
+    words.learn()
     order = sorted(ids, key=lambda i: len(ids[i]))
     at = 0
     while at < len(order):
@@ -174,24 +217,23 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> Model:
     chosen = rows.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, list[int], int]] = {}
+        totals: dict[str, np.ndarray] = {}
         for b in batches:
-            totals: dict[str, np.ndarray] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine = totals.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
-                for word in text.lower().split():
-                    if word not in cache:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[word] = (script_of(word), word_features(word), sum(map(str.isalpha, word)))
-                    script, features, letters = cache[word]
-                    if script >= 0:
-                        for f in features:
-                            mine[f] += 1
-                        mine[BUCKETS + script] += letters
-            for lang, mine in totals.items():
-                at = np.flatnonzero(mine)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], names=["lang", "bucket", "n"])
+            for first, end in slices(b.column(1)):
+                part, seen = b.slice(first, end - first), {}
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    seen.setdefault(lang, Counter()).update(text.lower().split())
+                for lang, words in seen.items():
+                    mine = totals.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
+                    for word, n in words.items():
+                        script = script_of(word)
+                        if script >= 0:
+                            for f in word_features(word):
+                                mine[f] += n
+                            mine[BUCKETS + script] += n * len(letters_of(word))
+        for lang, mine in totals.items():
+            at = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], names=["lang", "bucket", "n"])
 
     found = chosen.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())

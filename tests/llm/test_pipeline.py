@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -174,3 +175,37 @@ def test_repeated_rows_meet_the_budget(spark):
 
 def test_run_is_all_stages(spark):
     assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_texts_are_taken_in_hand_by_size(spark):
+    """Slices of a batch hold a bounded number of bytes, whatever the rows' number; longer texts come alone."""
+    from pyspark.sql import functions as F
+
+    from lorikeet.llm.common import SLICE_BYTES, slices, with_outputs
+
+    def run():
+        return lambda texts: [pa.array([sum(len(x or "") for x in texts.to_pylist())] * len(texts)), pa.array([len(texts)] * len(texts))]
+
+    size = F.when(F.col("id") == 700, F.lit(SLICE_BYTES + 1)).when(F.col("id") % 5 == 0, F.lit(0)).otherwise(F.lit(9000)).cast("int")
+    docs = spark.range(0, 1500, 1, 1).select("id", F.when(F.col("id") % 7 != 1, F.repeat(F.lit("x"), size)).alias("text"))
+    for frame in (docs, docs.withColumn("text", F.col("text").cast("binary"))):
+        rows = with_outputs(frame, "text", ["held", "n"], "held long, n long", run).select("id", "held", "n", F.length("text").alias("size")).collect()
+        want = {r.id: r.size for r in frame.select("id", F.length("text").alias("size")).collect()}
+        assert {r.id: r.size for r in rows} == want and len(rows) == 1500
+        assert max(r.held for r in rows if r.id != 700) <= SLICE_BYTES and [(r.held, r.n) for r in rows if r.id == 700] == [(SLICE_BYTES + 1, 1)]
+    assert list(slices(pa.array(["aa", None, "bbb", "", "c" * 9, "d"]), 5)) == [(0, 4), (4, 5), (5, 6)] and list(slices(pa.array([], pa.string()))) == []
+
+
+def test_words_learned_together_score_as_each_alone():
+    rng = np.random.default_rng(5)
+    counts, uses = rng.integers(0, 50, (3, langid.BUCKETS)).astype(float), np.zeros((3, len(langid.NAMES)))
+    uses[:2, 0], uses[2, 2] = 10, 10
+    model = langid.Model(["de", "en", "ru"], counts, uses)
+    texts = ["the house", "", None, "дом the שלום 123 !! " + "long" * 400 + " don't x1y ǆ straße", "the дом дом 1a"]
+    found = langid.Words(model)
+    for part in (texts[:2], texts[2:]):
+        langid.label_batch(found, part, langid.SWITCH)
+    assert len(found) == len({w for t in texts if t for w in t.lower().split()})
+    for word, n in found.items():
+        letters = sum(map(str.isalpha, word))
+        assert np.array_equal(found.table[n], model.scores(word)) and found.letters[n] == letters and found.known[n] == letters * model.knows(word), word
