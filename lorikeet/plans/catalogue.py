@@ -89,14 +89,14 @@ def context_recall(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM benchmark WHERE item_id % 50 = 0),
+WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM benchmark),
 d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM documents),
 s AS (SELECT item_id, doc_id, len(list_intersect(q.ts, d.ts)) AS shared, len(q.ts) + len(d.ts) - len(list_intersect(q.ts, d.ts)) AS u FROM q, d),
 r AS (SELECT item_id, doc_id, CASE WHEN u > 0 THEN shared / u ELSE 0 END AS score FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS final_rank FROM r)
 SELECT item_id, doc_id, round(score, 4) AS score, final_rank FROM k WHERE final_rank <= 6""")
 def lexical_rerank(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     scored = retrieval.lexical_candidates(q, table(spark, sf_dir, "documents").select("doc_id", "text"), query_id="item_id", question="question")
     best = retrieval.rerank(scored, F.col("score"), query_id="item_id", tie="doc_id")
     return best.select("item_id", "doc_id", F.round("final_score", 4).alias("score"), F.col("final_rank").cast("long").alias("final_rank"))

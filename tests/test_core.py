@@ -220,6 +220,37 @@ def test_lexical_candidates_are_those_of_all_pairs(spark):
         assert [(-r.score, r.doc_id is None, r.doc_id or 0) for r in sorted(got, key=lambda r: r.final_rank) if r.query_id == i] == sorted(scores)[:6]
 
 
+def test_lexical_search_takes_all_questions(spark, tmp_path):
+    """Every benchmark item is a question, not each fiftieth only."""
+    spark.createDataFrame([(i, f"shelf {i} has book {i % 7} and {i % 5}") for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"which shelf has book {i}?") for i in range(0, 120, 3)] + [(1, None), (2, "none")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = catalogue.lexical_rerank(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert {r.item_id for r in found} == {1, 2, *range(0, 120, 3)}
+    assert sorted(map(tuple, found)) == sorted(con.execute(catalogue.SQL["lexical_rerank"]).fetchall())
+
+
+def test_lexical_search_in_blocks_and_small_batches(spark, monkeypatch):
+    """Blocks of questions, passages that go on in the next batch, ties within and over tasks, questions that repeat an id."""
+    monkeypatch.setattr(retrieval, "QUESTIONS", 4)
+    monkeypatch.setattr(retrieval, "PAIRS", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        texts = [(i * 37 % 101, " ".join(f"w{i * j % 11}" for j in range(i % 9))) for i in range(101)]
+        asked = [(str(i // 2), " ".join(f"w{i * j % 13}" for j in range(1, 6))) for i in range(18)] + [(None, "w1")]
+        passages = spark.createDataFrame(texts, "doc_id int, text string").repartition(3).select(F.struct("doc_id").alias("at"), "text")
+        got = retrieval.lexical_candidates(spark.createDataFrame(asked, "query_id string, q string"), passages, 5, id_col="at")
+        assert got.count() <= 3 * len(asked) * 5
+        ranked = retrieval.rerank(got, F.col("score"), 5, tie="at").orderBy("final_rank").collect()
+        for i in {i for i, _ in asked}:
+            scores = [(-len(a & b) / max(1, len(a | b)), d) for k, q in asked if k == i for d, t in texts for a, b in [(set(q.split()), set(t.split()))]]
+            assert [(-r.score, r["at"].doc_id) for r in ranked if r.query_id == i] == sorted(scores)[:5]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_terms_of_a_passage_are_found_once(spark):
     """Beside an explode, a text would be split again for each of its terms."""
     rows = spark.createDataFrame([(1, "red apple")], "doc_id int, text string")
