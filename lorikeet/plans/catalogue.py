@@ -131,7 +131,7 @@ def chunk_lines(spark, sf_dir):
 
 @query(
     _CHUNKS
-    + """, q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM benchmark WHERE item_id % 50 = 0),
+    + """, q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM benchmark),
 d AS (SELECT doc_id, chunk_index, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda t: t <> '')) AS ts FROM c WHERE text <> ''),
 s AS (SELECT item_id, doc_id, chunk_index, len(list_intersect(q.ts, d.ts)) AS shared, len(q.ts) + len(d.ts) - len(list_intersect(q.ts, d.ts)) AS u FROM q, d),
 k AS (SELECT * FROM (SELECT item_id AS query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN u > 0 THEN shared / u ELSE 0 END DESC, doc_id, chunk_index) AS rank FROM s) WHERE rank <= 12),
@@ -145,7 +145,7 @@ def neighbour_expand(spark, sf_dir):
     """The hits are each question's best chunks of all documents, by the lexical score."""
     # a chunk table, as an index has: the chunks are read twice, and cut once; so are the hits
     chunks = _kept(spark, _line_chunks(spark, sf_dir), "chunks")
-    q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     places = chunks.select(F.struct(F.col("file_name").cast("long").alias("file_name"), "chunk_index").alias("at"), "text")
     scored = retrieval.lexical_candidates(q, places, 12, question="question", id_col="at")
     best = retrieval.rerank(scored, F.col("score"), n=12, tie="at").withColumnRenamed("final_rank", "rank")

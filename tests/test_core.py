@@ -272,6 +272,19 @@ def test_neighbours_read_hits_that_are_kept(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalogue.SQL["neighbour_expand"]).fetchall())
 
 
+def test_neighbours_are_of_all_questions(spark, tmp_path):
+    """Every benchmark item is a question, not each fiftieth only."""
+    texts = ["\n".join(f"shelf {k} has book {i * k % 7} beside a long enough line of words on {i}" for k in range(40)) for i in range(5)]
+    spark.createDataFrame([(i * 4, t) for i, t in enumerate(texts)] + [(3, texts[1]), (30, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"which shelf has book {i}?") for i in range(0, 40, 3)] + [(1, "none"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = catalogue.neighbour_expand(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert {r.query_id for r in found} == {1, 2, *range(0, 40, 3)}
+    assert sorted(map(tuple, found)) == sorted(con.execute(catalogue.SQL["neighbour_expand"]).fetchall())
+
+
 # ---------------------------------------------------------------- dialogue
 
 
